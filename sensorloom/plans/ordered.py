@@ -57,11 +57,11 @@ def _carried(blocked: DataFrame, keys: Sequence[str], total: Column) -> DataFram
     earlier = per_key.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocked.groupBy(*keys, BLOCK)
-        .agg(total.alias("_t"))
+        .agg(total.alias("__t"))
         .select(
             *keys, BLOCK,
-            F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_t").over(per_key).alias("_all"),
+            F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__t").over(per_key).alias("__all"),
         )
     )
 
@@ -78,13 +78,13 @@ def number_rows(
     """Exact zero-based row number per key, and optionally the key's row count."""
     blocked = with_blocks(df, keys, order, width, max_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    joined = blocked.withColumn("_in", F.row_number().over(inside)).join(
+    joined = blocked.withColumn("__in", F.row_number().over(inside)).join(
         _carried(blocked, keys, F.count(F.lit(1))), [*keys, BLOCK]
     )
-    joined = joined.withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("long"))
+    joined = joined.withColumn(out, (F.col("__before") + F.col("__in") - 1).cast("long"))
     if count:
-        joined = joined.withColumn(count, F.col("_all").cast("long"))
-    return joined.drop(BLOCK, "_in", "_before", "_all")
+        joined = joined.withColumn(count, F.col("__all").cast("long"))
+    return joined.drop(BLOCK, "__in", "__before", "__all")
 
 
 def running_total(
@@ -98,15 +98,15 @@ def running_total(
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
     """Running sum of ``value`` per key up to and including the row."""
-    blocked = with_blocks(df.withColumn("_v", value), keys, order, width, max_rows)
+    blocked = with_blocks(df.withColumn("__v", value), keys, order, width, max_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.withColumn("_in", F.sum("_v").over(inside)).join(
-        _carried(blocked, keys, F.sum("_v")), [*keys, BLOCK]
+    joined = blocked.withColumn("__in", F.sum("__v").over(inside)).join(
+        _carried(blocked, keys, F.sum("__v")), [*keys, BLOCK]
     )
-    joined = joined.withColumn(out, F.col("_before") + F.col("_in"))
+    joined = joined.withColumn(out, F.col("__before") + F.col("__in"))
     if total:
-        joined = joined.withColumn(total, F.col("_all"))
-    return joined.drop(BLOCK, "_v", "_in", "_before", "_all")
+        joined = joined.withColumn(total, F.col("__all"))
+    return joined.drop(BLOCK, "__v", "__in", "__before", "__all")
 
 
 def nearest_values(
