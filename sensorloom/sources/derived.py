@@ -85,6 +85,14 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream."""
+        reader = self.spark.readStream.schema(self.read(name).schema).option("pathGlobFilter", f"{name}.parquet")
+        return reader.parquet(self.folder)
+
+    def stream_readings(self) -> DataFrame:
+        return readings_from_events(self.stream("events"), F.col("user_id") % 12)
+
     @cached_property
     def readings(self) -> DataFrame:
         """Readings of 12 sites."""
