@@ -62,10 +62,20 @@ def neighbor_lookup(df: DataFrame, neighbors: DataFrame, measures: Sequence[str]
 def ground_truth_rows(
     df: DataFrame, runs: DataFrame, by_site: bool = True, step: int = READING_SECONDS
 ) -> DataFrame:
-    """Rows lying in complete runs, matched on the epoch alone or on epoch and site."""
-    keys = [SITE, EPOCH] if by_site else [EPOCH]
-    instants = runs.select(SITE, F.explode(F.sequence("run_start", "run_end", F.lit(step))).alias(EPOCH))
-    return df.join(instants.select(*keys).distinct(), keys, "left_semi")
+    """Rows lying in complete runs, matched on site and epoch or on the epoch alone.
+
+    Runs lie within a day, so a site's rows meet only its runs of the same day. For
+    the epoch alone the instants of all runs are made distinct: one row per instant,
+    however many sites share it.
+    """
+    if by_site:
+        spans = runs.select(SITE, "day", "run_start", "run_end")
+        rows = df.withColumn("day", F.floor(F.col(EPOCH) / 86400))
+        same = [rows[SITE] == spans[SITE], rows["day"] == spans["day"]]
+        inside = rows[EPOCH].between(spans["run_start"], spans["run_end"])
+        return rows.join(spans, [*same, inside], "left_semi").select(*df.columns)
+    instants = runs.select(F.explode(F.sequence("run_start", "run_end", F.lit(step))).alias(EPOCH))
+    return df.join(instants.distinct(), EPOCH, "left_semi")
 
 
 def pair_site_features(

@@ -51,11 +51,13 @@ def time_grid(df: DataFrame, step: int = READING_SECONDS) -> DataFrame:
     """
     span = df.groupBy(SITE).agg(F.min(EPOCH).alias("_lo"), F.max(EPOCH).alias("_hi"))
     per_slice = max(1, 86_400 // step)
+    # An explicit number: the few bytes of the slices must not be merged into one task.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = F.floor((F.col("_hi") - F.col("_lo")) / step)
     slices = span.select(
         SITE, "_lo", last.alias("_last"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / per_slice))).alias("_slice"),
-    ).repartition(SITE, "_slice")
+    ).repartition(parts, SITE, "_slice")
     first = F.col("_slice") * per_slice
     steps = F.sequence(first, F.least(first + per_slice - 1, F.col("_last")))
     return slices.select(SITE, "_lo", F.explode(steps).alias("_i")).select(

@@ -27,42 +27,49 @@ def with_blocks(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    totals: Sequence[Column] = (),
     width: int | None = DAY,
     max_rows: int = MAX_BLOCK_ROWS,
-) -> DataFrame:
-    """Add ``_blk``: blocks that follow ``order`` inside ``keys``.
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_blk``, blocks that follow ``order`` inside ``keys``, and a table per block.
 
     The blocks are intervals of the first order column, ``width`` long (a day by
-    default), or with ``width=None`` the whole key; their largest size is
-    measured first, on the key columns alone. If one is too big the rows are
-    range-partitioned on ``keys + order``, so any unique order splits evenly, and
-    staged so that the partition numbers stay fixed. ``keys`` must not be null.
+    default), or with ``width=None`` the whole key. One pass over the needed columns
+    writes the block table: the row count ``__n`` and the aggregates ``totals``. If
+    the largest block is too big, the rows are range-partitioned on ``keys + order``
+    instead, so any unique order splits evenly, and staged so that the partition
+    numbers stay fixed. ``keys`` must not be null.
     """
     if width is None:
         block = F.lit(0).cast("long")
     else:
         block = F.coalesce(F.floor(F.col(order[0]) / width), F.lit(-(2**62)))
-    sizes = df.groupBy(*keys, block.alias(BLOCK)).count()
-    largest, rows = sizes.agg(F.max("count"), F.sum("count")).first()
+
+    def table(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__n"), *totals)
+
+    blocked = df.withColumn(BLOCK, block)
+    blocks = staged(table(blocked), "block-totals")
+    largest, rows = blocks.agg(F.max("__n"), F.sum("__n")).first()
     if (largest or 0) <= max_rows:
-        return df.withColumn(BLOCK, block)
+        return blocked, blocks
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // max_rows))
     ranged = df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
-    return staged(ranged, "blocks")
+    ranged = staged(ranged, "blocks")
+    return ranged, table(ranged)
 
 
-def _carried(blocked: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
-    """Per block: the total of all earlier blocks of the key, and the key's total."""
+def _carried(blocks: DataFrame, keys: Sequence[str], total: str) -> DataFrame:
+    """Per block: the total of all earlier blocks of the key, and the key's total.
+
+    The block table is small (days or partitions per key), so its window is too.
+    """
     per_key = Window.partitionBy(*keys)
     earlier = per_key.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(total.alias("__t"))
-        .select(
-            *keys, BLOCK,
-            F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"),
-            F.sum("__t").over(per_key).alias("__all"),
-        )
+    return blocks.select(
+        *keys, BLOCK,
+        F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias("__before"),
+        F.sum(total).over(per_key).alias("__all"),
     )
 
 
@@ -76,10 +83,10 @@ def number_rows(
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
     """Exact zero-based row number per key, and optionally the key's row count."""
-    blocked = with_blocks(df, keys, order, width, max_rows)
+    blocked, blocks = with_blocks(df, keys, order, (), width, max_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     joined = blocked.withColumn("__in", F.row_number().over(inside)).join(
-        _carried(blocked, keys, F.count(F.lit(1))), [*keys, BLOCK]
+        _carried(blocks, keys, "__n"), [*keys, BLOCK]
     )
     joined = joined.withColumn(out, (F.col("__before") + F.col("__in") - 1).cast("long"))
     if count:
@@ -98,10 +105,11 @@ def running_total(
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
     """Running sum of ``value`` per key up to and including the row."""
-    blocked = with_blocks(df.withColumn("__v", value), keys, order, width, max_rows)
+    valued = df.withColumn("__v", value)
+    blocked, blocks = with_blocks(valued, keys, order, [F.sum("__v").alias("__t")], width, max_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = blocked.withColumn("__in", F.sum("__v").over(inside)).join(
-        _carried(blocked, keys, F.sum("__v")), [*keys, BLOCK]
+        _carried(blocks, keys, "__t"), [*keys, BLOCK]
     )
     joined = joined.withColumn(out, F.col("__before") + F.col("__in"))
     if total:
@@ -118,19 +126,19 @@ def nearest_values(
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``_prev_c`` and ``_next_c``: the last value at or before and the first at or after a row."""
-    blocked = with_blocks(df, keys, order, width, max_rows)
+    place = F.struct(*order)
+    edges = [
+        pick(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{name}_{c}")
+        for c in columns for name, pick in (("first", F.min_by), ("last", F.max_by))
+    ]
+    blocked, blocks = with_blocks(df, keys, order, edges, width, max_rows)
     grow = (Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(*grow)
     # Looking ahead is a growing frame over the reversed order: linear, unlike a shrinking frame.
     back = Window.partitionBy(*keys, BLOCK).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*grow)
-    place = F.struct(*order)
-    edges = blocked.groupBy(*keys, BLOCK).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_first_{c}") for c in columns],
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_last_{c}") for c in columns],
-    )
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.select(
+    carried = blocks.select(
         *keys, BLOCK,
         *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_before_{c}") for c in columns],
         *[F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_after_{c}") for c in columns],
@@ -139,7 +147,7 @@ def nearest_values(
         "*",
         *[F.last(c, ignorenulls=True).over(ahead).alias(f"_in_prev_{c}") for c in columns],
         *[F.last(c, ignorenulls=True).over(back).alias(f"_in_next_{c}") for c in columns],
-    ).join(edges, [*keys, BLOCK])
+    ).join(carried, [*keys, BLOCK])
     return found.select(
         *df.columns,
         *[F.coalesce(f"_in_prev_{c}", f"_before_{c}").alias(f"_prev_{c}") for c in columns],
