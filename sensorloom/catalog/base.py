@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sensorloom.session import tune_session
 from sensorloom.sources.derived import Tables
@@ -21,11 +20,9 @@ NUDGE = "(1 + 1e-12)"
 
 def presented(df: DataFrame) -> DataFrame:
     """Doubles rounded to 6 places, without a negative zero."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.expr(f"round(CAST(`{c}` AS DOUBLE) * {NUDGE}, 6) + 0.0D").alias(c)
-            if t in ("double", "float")
-            else F.col(f"`{c}`")
+            f"round(CAST(`{c}` AS DOUBLE) * {NUDGE}, 6) + 0.0D AS `{c}`" if t in ("double", "float") else f"`{c}`"
             for c, t in df.dtypes
         ]
     )

@@ -163,6 +163,7 @@ def over_chunks(
     before: int = 0,
     after: int = 0,
     descending: bool = False,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
@@ -171,7 +172,7 @@ def over_chunks(
     plus the copied neighbours. Copies add (before + after) / chunk to the data,
     at most an eighth.
     """
-    size = max(4096, 8 * (before + after))
+    size = chunk_rows or max(4096, 8 * (before + after))
     number = F.col(row)
     chunk = F.floor(number / size)
     first = F.greatest(F.lit(0), F.floor((number - after) / size))

@@ -14,6 +14,10 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Only read when a session starts. Recording a call site for every column
+# expression costs more than building it.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def tune_session(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else has built."""
@@ -31,6 +35,6 @@ def build_session(app: str = "sensorloom", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -9,69 +9,59 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import time_parts, time_parts_full
 
 _EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
+_SITE = "concat('48_201_', lpad(string({}), 4, '0')) AS aqs_code"
 
 
-def _site_code(number) -> F.Column:
-    return F.concat(F.lit("48_201_"), F.lpad(number.cast("string"), 4, "0"))
-
-
-def readings_from_events(events: DataFrame, site_number) -> DataFrame:
-    """Readings of 16 columns; ``site_number`` is the column that numbers the sites."""
-    epoch = F.expr(_EPOCH.format("ts"))
-    odd_code = F.when(F.col("event_id") % 2 == 0, "VAL").otherwise("K")
-    failed = F.col("event_type") == "error"
-    no_seventh = F.col("event_id") % 7 == 0
-    unless = lambda test, value: F.when(~test, value)
-    return events.select(
+def readings_from_events(events: DataFrame, site_number: str) -> DataFrame:
+    """Readings of 16 columns; ``site_number`` is the expression that numbers the sites."""
+    epoch = _EPOCH.format("ts")
+    era_code = "CASE WHEN event_id % 2 = 0 THEN 'VAL' ELSE 'K' END"
+    return events.selectExpr(
         "event_id",
-        _site_code(site_number).alias("aqs_code"),
-        (epoch - epoch % 300).alias("epoch"),
-        F.when(F.col("event_id") % 2 == 0, 2013).otherwise(2015).alias("data_year"),
-        unless(failed, F.col("value") * 0.5).alias("no"),
-        unless(no_seventh, F.col("value") * 0.25).alias("no2"),
-        unless(failed | no_seventh, F.col("value") * 0.75).alias("nox"),
-        unless(F.col("event_id") % 10 < 2, F.col("value")).alias("o3"),
-        (60 + F.col("event_id") % 30).cast("double").alias("temp"),
-        unless(F.col("event_id") % 13 == 0, ((F.col("event_id") * 37) % 360).cast("double")).alias("winddir"),
-        ((F.col("event_id") * 11) % 25).cast("double").alias("windspd"),
-        F.when(F.col("event_id") % 5 == 0, "AQI").otherwise(odd_code).alias("o3_flag"),
-        odd_code.alias("no_flag"),
-        odd_code.alias("no2_flag"),
-        F.when(F.col("event_id") % 11 == 0, "LST").otherwise(odd_code).alias("nox_flag"),
-        odd_code.alias("temp_flag"),
+        _SITE.format(site_number),
+        f"{epoch} - {epoch} % 300 AS epoch",
+        "CASE WHEN event_id % 2 = 0 THEN 2013 ELSE 2015 END AS data_year",
+        "CASE WHEN event_type <> 'error' THEN value * 0.5D END AS no",
+        "CASE WHEN event_id % 7 <> 0 THEN value * 0.25D END AS no2",
+        "CASE WHEN event_type <> 'error' AND event_id % 7 <> 0 THEN value * 0.75D END AS nox",
+        "CASE WHEN event_id % 10 >= 2 THEN value END AS o3",
+        "double(60 + event_id % 30) AS temp",
+        "CASE WHEN event_id % 13 <> 0 THEN double((event_id * 37) % 360) END AS winddir",
+        "double((event_id * 11) % 25) AS windspd",
+        f"CASE WHEN event_id % 5 = 0 THEN 'AQI' ELSE {era_code} END AS o3_flag",
+        f"{era_code} AS no_flag",
+        f"{era_code} AS no2_flag",
+        f"CASE WHEN event_id % 11 = 0 THEN 'LST' ELSE {era_code} END AS nox_flag",
+        f"{era_code} AS temp_flag",
     )
 
 
 def sites_of(readings: DataFrame) -> DataFrame:
     """Site dimension of the sites that occur in ``readings``."""
-    i = F.substring("aqs_code", 8, 4).cast("int")
-    lit = lambda x: F.lit(x).cast("double")
-    return readings.select("aqs_code").distinct().select(
+    numbered = readings.select("aqs_code").distinct().selectExpr("aqs_code", "int(substr(aqs_code, 8)) AS i")
+    return numbered.selectExpr(
         "aqs_code",
-        (lit(29.5) + lit(0.05) * (i % 40)).alias("latitude"),
-        (lit(-95.5) + lit(0.03) * ((i * 5) % 37)).alias("longitude"),
-        F.when(i % 4 == 0, "NA").otherwise((10 + i % 5).cast("string")).alias("region"),
+        "29.5D + 0.05D * (i % 40) AS latitude",
+        "-95.5D + 0.03D * ((i * 5) % 37) AS longitude",
+        "CASE WHEN i % 4 = 0 THEN 'NA' ELSE string(10 + i % 5) END AS region",
     )
 
 
 def history_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Readings of several years with an empty column and a site without nox."""
-    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    site = F.col("l_suppkey") % 20
-    return lineitem.select(
-        _site_code(site).alias("aqs_code"),
-        (F.expr(_EPOCH.format("l_shipdate")) + (key % 288) * 300).alias("epoch"),
-        F.year("l_shipdate").alias("data_year"),
-        F.when(F.col("l_linenumber") != 7, F.col("l_quantity") * 1.5).alias("o3"),
-        F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 100).alias("no"),
-        F.when((site != 3) & (F.col("l_linestatus") != "F"), F.col("l_tax") * 1000).alias("nox"),
-        (F.col("l_extendedprice") * 0.001).alias("temp"),
-        F.lit(None).cast("double").alias("co"),
+    return lineitem.selectExpr(
+        _SITE.format("l_suppkey % 20"),
+        f"{_EPOCH.format('l_shipdate')} + ((l_orderkey * 8 + l_linenumber) % 288) * 300 AS epoch",
+        "year(l_shipdate) AS data_year",
+        "CASE WHEN l_linenumber <> 7 THEN l_quantity * 1.5D END AS o3",
+        "CASE WHEN l_returnflag <> 'R' THEN l_discount * 100 END AS no",
+        "CASE WHEN l_suppkey % 20 <> 3 AND l_linestatus <> 'F' THEN l_tax * 1000 END AS nox",
+        "l_extendedprice * 0.001D AS temp",
+        "double(NULL) AS co",
         "l_returnflag",
     )
 
@@ -91,12 +81,12 @@ class Tables:
         return reader.parquet(self.folder)
 
     def stream_readings(self) -> DataFrame:
-        return readings_from_events(self.stream("events"), F.col("user_id") % 12)
+        return readings_from_events(self.stream("events"), "user_id % 12")
 
     @cached_property
     def readings(self) -> DataFrame:
         """Readings of 12 sites."""
-        return readings_from_events(self.read("events"), F.col("user_id") % 12)
+        return readings_from_events(self.read("events"), "user_id % 12")
 
     @cached_property
     def timed(self) -> DataFrame:
@@ -109,7 +99,7 @@ class Tables:
     @cached_property
     def station_readings(self) -> DataFrame:
         """The same readings with one station per user: the network grows with the data."""
-        return readings_from_events(self.read("events"), F.col("user_id"))
+        return readings_from_events(self.read("events"), "user_id")
 
     @cached_property
     def stations(self) -> DataFrame:
