@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -216,13 +218,17 @@ def kmeans_fit(df: DataFrame, k: int, seed: int = 0, column: str = "features") -
     return KMeans(k=k, seed=seed, featuresCol=column).fit(df)
 
 
-def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(4, 20, 2), seed: int = 0) -> DataFrame:
-    """Inertia and iterations per k; the input is staged once for all fits."""
-    ready = staged(df.select("features"), "kmeans")
-    rows = []
-    for k in ks:
+def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(4, 20, 2), seed: int = 0, parallelism: int = 4) -> DataFrame:
+    """Inertia and iterations per k; the input is staged once and several fits run at a time."""
+    ready = staged(df.select("features"), "kmeans").persist()
+
+    def fit(k: int) -> tuple[int, float, int]:
         summary = kmeans_fit(ready, k, seed).summary
-        rows.append((k, float(summary.trainingCost), int(summary.numIter)))
+        return k, float(summary.trainingCost), int(summary.numIter)
+
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)
+    ready.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, iterations int")
 
 

@@ -213,29 +213,48 @@ def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str]
     return summary
 
 
-def subset_tags(df: DataFrame, limit: float = 40.0) -> DataFrame:
-    """Add ``tags``: the profile subsets a row belongs to. ``df`` carries hour and month."""
+SUBSETS = ["overall", "daytime", "nighttime", "highpol_months", "higho3_days"]
+
+
+def subset_flags(df: DataFrame, limit: float = 40.0) -> DataFrame:
+    """Add ``in_{subset}``: whether a row belongs to a profile subset. ``df`` carries hour and month."""
     days = high_o3_days(df, limit).withColumn("_high", F.lit(True))
     dated = df.withColumn("date", F.to_date(epoch_time())).join(days, [SITE, "date"], "left")
-    tag = lambda test, name: F.when(test, F.lit(name))
-    tags = F.array_compact(
-        F.array(
-            F.lit("overall"),
-            tag(is_daytime(), "daytime"),
-            tag(is_nighttime(), "nighttime"),
-            tag(is_highpol_month(), "highpol_months"),
-            tag(F.col("_high"), "higho3_days"),
-        )
-    )
-    return dated.withColumn("tags", tags).drop("_high", "date")
+    tests = [F.lit(True), is_daytime(), is_nighttime(), is_highpol_month(), F.col("_high").isNotNull()]
+    return dated.withColumns({f"in_{s}": test for s, test in zip(SUBSETS, tests)}).drop("_high", "date")
+
+
+def subset_tags(df: DataFrame, limit: float = 40.0) -> DataFrame:
+    """Add ``tags``: the names of the profile subsets a row belongs to."""
+    names = [F.when(F.col(f"in_{s}"), F.lit(s)) for s in SUBSETS]
+    tags = F.array_compact(F.array(*names))
+    return subset_flags(df, limit).withColumn("tags", tags).drop(*[f"in_{s}" for s in SUBSETS])
 
 
-def describe_by_site_year(df: DataFrame, numeric: Sequence[str], year: str = YEAR, limit: float = 40.0) -> DataFrame:
-    """The numeric summary for every (site, year, subset, column) in one grouped pass.
+def describe_by_site_year(
+    df: DataFrame,
+    numeric: Sequence[str],
+    year: str = YEAR,
+    limit: float = 40.0,
+    max_group_rows: int = 1_000_000,
+) -> DataFrame:
+    """The numeric summary for every (site, year, subset, column).
 
-    Values are counted per tag combination first, so rows are never multiplied by
-    their subsets; only the counted values are.
+    One grouped pass over (site, year) serves all subsets and columns as long as the
+    largest group, which is counted first, stays below ``max_group_rows``: an exact
+    percentile holds the values of its group. Beyond that the values are counted per
+    tag combination and ranked in blocks.
     """
+    largest = df.groupBy(SITE, year).count().agg(F.max("count")).first()[0] or 0
+    if largest <= max_group_rows:
+        cells = F.array(*[_cell(s, c) for s in SUBSETS for c in numeric])
+        return (
+            subset_flags(df, limit).groupBy(SITE, year).agg(cells.alias("cells"))
+            .select(SITE, year, F.inline("cells"))
+            .filter(F.col("count") > 0)
+            .withColumns({name: F.col("quartiles")[i] for i, name in enumerate(QUARTILES)})
+            .select(SITE, year, "subset", "column", "count", "mean", "std", "min", *QUARTILES, "max")
+        )
     groups = [SITE, year, "subset"]
     counted = value_table(subset_tags(df, limit), [SITE, year, "tags"], numeric)
     spread = counted.withColumn("subset", F.explode("tags")).groupBy(*groups, "column", "value").agg(
@@ -244,6 +263,16 @@ def describe_by_site_year(df: DataFrame, numeric: Sequence[str], year: str = YEA
     return numeric_summary(staged(spread, "subset-values"), groups)
 
 
+def _cell(subset: str, column: str) -> Column:
+    """Summary of one column over one subset, as a struct aggregate."""
+    v = F.when(F.col(f"in_{subset}"), F.col(column).cast("double"))
+    return F.struct(
+        F.lit(subset).alias("subset"), F.lit(column).alias("column"), F.count(v).alias("count"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.percentile(v, list(QUARTILES.values())).alias("quartiles"),
+    )
+
+
 def subset_row_counts(df: DataFrame, year: str = YEAR, limit: float = 40.0) -> DataFrame:
     """Rows per subset and year, counted per tag combination first."""
     counted = subset_tags(df, limit).groupBy(year, "tags").count()

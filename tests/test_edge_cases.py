@@ -309,6 +309,19 @@ def test_quantiles_of_many_values_use_ranges(spark, monkeypatch):
     assert (got.p25, got.p50, got.p75) == (250.0, 500.0, 750.0)
 
 
+def test_profile_of_large_groups_equals_that_of_small_ones(frame):
+    rows = [("ab"[i % 2], 2000 + i % 3, 300 * i, i % 24, 1 + i % 12, None if i % 5 == 0 else float(i % 50)) for i in range(400)]
+    df = frame(rows, "aqs_code string, data_year int, epoch long, hour int, month int, o3 double")
+    key = lambda r: (r.aqs_code, r.data_year, r.subset, r.column)
+    small, large = (
+        sorted(pf.describe_by_site_year(df, ["o3"], max_group_rows=n).collect(), key=key) for n in (10**6, 10)
+    )
+    assert [key(r) for r in small] == [key(r) for r in large] and len(small) == 30
+    for a, b in zip(small, large):
+        assert a.asDict().items() >= {"count": b["count"]}.items()
+        assert [a[c] for c in a.__fields__[4:]] == pytest.approx([b[c] for c in a.__fields__[4:]])
+
+
 def test_histogram_closes_the_last_bin(frame):
     df = frame([(float(v),) for v in (-1, 0, 5, 5, 10, 10, 10, 20)], "x double")
     limit = 7.5 + 1.5 * (10 - 3.75)
