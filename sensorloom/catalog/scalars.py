@@ -54,8 +54,8 @@ def _(t: Tables):
     return t.readings.select("event_id", fn.site_in_region(code, ["48_201_0002", "48_201_0005"]).alias("inside"))
 
 
-@query("clock_to_minutes", sql(f"""
-SELECT event_id, {r('hour(ts) * 60 + minute(ts) + floor(second(ts)) / 60.0', 'minutes')} FROM events"""))
+@query("clock_to_minutes", sql("""
+SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minutes FROM events"""))
 def _(t: Tables):
     clock = F.date_format("ts", "HH:mm:ss")
     return t.read("events").select("event_id", fn.clock_to_minutes(clock).alias("minutes"))

@@ -56,9 +56,9 @@ def time_parts_full(df: DataFrame, epoch: str = "epoch") -> DataFrame:
 
 
 def clock_to_minutes(clock: Column | str) -> Column:
-    """``HH:MM:SS`` to minutes of the day."""
+    """``HH:MM:SS`` to whole minutes of the day; the seconds do not count."""
     parts = F.split(_c(clock), ":")
-    return parts[0].cast("double") * 60 + parts[1].cast("double") + parts[2].cast("double") / 60
+    return parts[0].cast("int") * 60 + parts[1].cast("int")
 
 
 def onehot_time(df: DataFrame, values: dict[str, Iterable[int]]) -> DataFrame:

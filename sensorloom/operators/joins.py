@@ -103,7 +103,7 @@ def pair_site_features(
 
 # --- neighbours -------------------------------------------------------------
 
-def _cells(sites: DataFrame, level: Column, smallest: float) -> tuple[Column, Column]:
+def _cells(level: Column, smallest: float) -> tuple[Column, Column]:
     size = smallest * F.pow(F.lit(2.0), level)
     return F.floor(F.col("longitude") / size), F.floor(F.col("latitude") / size)
 
@@ -132,44 +132,48 @@ def neighbor_pairs(sites: DataFrame, max_distance: float) -> DataFrame:
     )
 
 
-def nearest_k_sites(
-    sites: DataFrame, k: int = 4, smallest: float = 1 / 64, levels: int = 16
-) -> DataFrame:
+def nearest_k_sites(sites: DataFrame, k: int = 4, smallest: float = 2.0**-17, levels: int = 27) -> DataFrame:
     """The exact ``k`` nearest sites of each site by (distance, code).
 
-    Every site searches the finest cell size at which its own cell holds more than
-    ``k`` sites. The k nearest then lie within the cell's diagonal, hence inside the
-    3 x 3 block of cells twice as large; no other site is compared. The coarsest
-    level covers the globe and serves sites that never find ``k`` others.
+    Sites at one location share their neighbours, so locations search, and a location
+    offers only its k + 1 smallest codes: no other can be among the nearest. Every
+    location searches at the finest cell size at which its own cell offers more than
+    ``k`` candidates. The nearest then lie within the cell's diagonal, hence inside the
+    3 x 3 block of cells twice as large; no other site is compared. The coarsest level
+    covers the globe and serves locations that never find ``k`` others.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    placed = sites.select(SITE, "latitude", "longitude").filter(F.col("latitude").isNotNull())
-    leveled = placed.select("*", level)
-    cx, cy = _cells(leveled, F.col("level"), smallest)
+    placed = sites.select(SITE, "latitude", "longitude").filter(
+        F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    )
+    # Rank limits are pushed below the shuffle: each task forwards the first few rows of a group.
+    same_place = Window.partitionBy("latitude", "longitude").orderBy(SITE)
+    offered = placed.withColumn("_r", F.row_number().over(same_place)).filter(F.col("_r") <= k + 1).drop("_r")
+    leveled = offered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    cx, cy = _cells(F.col("level"), smallest)
     leveled = leveled.withColumns({"cx": cx, "cy": cy})
-    full = leveled.groupBy("level", "cx", "cy").count().filter(F.col("count") > k)
+    cell = ["level", "cx", "cy"]
+    full = leveled.groupBy(*cell).count().filter(F.col("count") > k).select(*cell)
+    place = ["latitude", "longitude"]
     finest = (
-        leveled.join(full.select("level", "cx", "cy"), ["level", "cx", "cy"])
-        .groupBy(SITE)
+        leveled.join(full, cell).groupBy(*place)
         .agg(F.least(F.min("level") + 1, F.lit(levels)).alias("level"))
     )
-    query = (
-        placed.join(finest, SITE, "left")
-        .withColumn("level", F.coalesce("level", F.lit(levels)))
+    query = placed.select(*place).distinct().join(finest, place, "left").withColumn(
+        "level", F.coalesce("level", F.lit(levels))
     )
-    qx, qy = _cells(query, F.col("level"), smallest)
-    query = query.withColumns({"cx": qx, "cy": qy}).withColumn("cx", _around("cx")).withColumn("cy", _around("cy"))
+    query = query.withColumns({"cx": cx, "cy": cy}).withColumn("cx", _around("cx")).withColumn("cy", _around("cy"))
     candidates = leveled.select(
-        F.col(SITE).alias("neighbor"), F.col("latitude").alias("lat2"), F.col("longitude").alias("long2"),
-        "level", "cx", "cy",
+        F.col(SITE).alias("neighbor"), F.col("latitude").alias("lat2"), F.col("longitude").alias("long2"), *cell
     )
-    distance = F.round(euclid_distance("latitude", "longitude", "lat2", "long2"), 9)
-    # The rank limit is pushed below the shuffle, so each task forwards at most k rows per site.
-    rank = Window.partitionBy(SITE).orderBy("distance", "neighbor")
+    distance = F.round(euclid_distance("latitude", "longitude", "lat2", "long2"), 9).alias("distance")
+    by_place = Window.partitionBy(*place).orderBy("distance", "neighbor")
+    near = (
+        query.join(candidates, cell).select(*place, "neighbor", distance)
+        .withColumn("_r", F.row_number().over(by_place)).filter(F.col("_r") <= k + 1).drop("_r")
+    )
+    by_site = Window.partitionBy(SITE).orderBy("distance", "neighbor")
     return (
-        query.join(candidates, ["level", "cx", "cy"])
-        .filter(F.col(SITE) != F.col("neighbor"))
-        .select(SITE, "neighbor", distance.alias("distance"))
-        .withColumn("rank", F.row_number().over(rank))
-        .filter(F.col("rank") <= k)
+        placed.join(near, place).filter(F.col(SITE) != F.col("neighbor"))
+        .select(SITE, "neighbor", "distance")
+        .withColumn("rank", F.row_number().over(by_site)).filter(F.col("rank") <= k)
     )

@@ -38,7 +38,7 @@ def with_blocks(
     writes the block table: the row count ``__n`` and the aggregates ``totals``. If
     the largest block is too big, the rows are range-partitioned on ``keys + order``
     instead, so any unique order splits evenly, and staged so that the partition
-    numbers stay fixed. ``keys`` must not be null.
+    numbers stay fixed. A row without a key belongs to no series and is left out.
     """
     if width is None:
         block = F.lit(0).cast("long")

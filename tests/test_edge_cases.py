@@ -244,7 +244,7 @@ def test_blank_text_and_nan(frame):
 
 
 def test_clock(frame):
-    assert frame([("01:30:30",)], "c string").select(fn.clock_to_minutes("c")).first()[0] == 90.5
+    assert frame([("06:15:59",)], "c string").select(fn.clock_to_minutes("c")).first()[0] == 375
 
 
 # --- sources ----------------------------------------------------------------
@@ -389,7 +389,8 @@ def test_nearest_sites_are_exact(spark):
     rng = random.Random(3)
     points = [(f"s{i:03d}", 29 + rng.random() * 0.01, -95 + rng.random() * 0.01) for i in range(60)]
     points += [(f"t{i:03d}", rng.uniform(-60, 60), rng.uniform(-170, 170)) for i in range(40)]
-    points += [(f"u{i:03d}", 10.0, 10.0) for i in range(7)]
+    points += [(f"u{i:03d}", 10.0, 10.0) for i in range(7)] + [("v000", 10.0, 10.001)]
+    points += [(f"w{i:03d}", 29 + rng.random() * 1e-4, -95 + rng.random() * 1e-4) for i in range(30)]
     sites = spark.createDataFrame(points, "aqs_code string, latitude double, longitude double")
     got = {}
     for r in jn.nearest_k_sites(sites, 4).collect():
