@@ -104,14 +104,6 @@ def _(t: Tables):
     return sinks.write_sequences(built, new_path(t.spark, "sequences"))
 
 
-@query("cached_transform")
-def _(t: Tables):
-    path = new_path(t.spark, "cache")
-    src.cached_transform(t.spark, path, lambda: op.filter_valid_flags(t.readings))
-    # The second call finds the complete table and reads it.
-    return src.cached_transform(t.spark, path, lambda: t.readings)
-
-
 @query("site_dim_export", sql(SITES, f"SELECT aqs_code, region, {rs('latitude', 'longitude')} FROM sites"))
 def _(t: Tables):
     path = new_path(t.spark, "sites")
@@ -137,6 +129,14 @@ def _(t: Tables):
     return op.filter_valid_flags(t.readings)
 
 
+@query("cached_transform", sql(READINGS, f"SELECT {cols(*ALL)} FROM readings WHERE {VALID_BY_ERA}"))
+def _(t: Tables):
+    path = new_path(t.spark, "cache")
+    src.cached_transform(t.spark, path, lambda: op.filter_valid_flags(t.readings))
+    # The second call finds the complete table and reads it.
+    return src.cached_transform(t.spark, path, lambda: t.readings)
+
+
 @query("filter_valid_o3_temp", sql(READINGS, f"""
 SELECT {cols(*ALL)} FROM readings WHERE o3_flag = 'K' AND temp_flag = 'K' AND winddir IS NOT NULL"""))
 def _(t: Tables):

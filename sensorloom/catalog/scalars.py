@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.catalog.base import HISTORY, READINGS, SITES, STATIONS, TIMED, Tables, query, r, rs, sql
+from sensorloom.catalog.base import HISTORY, READINGS, SITES, STATIONS, TIMED, Tables, query, r, sql
 from sensorloom.functions import scalar as fn
 from sensorloom.operators import filters as flt
 from sensorloom.operators import reshape as rsh

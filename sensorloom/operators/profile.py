@@ -150,6 +150,11 @@ def value_table(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) ->
     return staged(counts, "values")
 
 
+def _per_column(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Without groups a summary has one row per column of the call: that is broadcast."""
+    return rows if groups else F.broadcast(rows)
+
+
 def quantiles(values: DataFrame, groups: Sequence[str], shares: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per (groups, column) of a value table."""
     keys = [*groups, "column"]
@@ -176,7 +181,7 @@ def numeric_summary(values: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
     # Deviations from the mean, not the sum of squares: large values of small spread stay exact.
     spread = (
-        values.join(base.select(*keys, "mean"), keys)
+        values.join(_per_column(base.select(*keys, "mean"), groups), keys)
         .groupBy(*keys)
         .agg(
             F.sqrt(
@@ -297,7 +302,7 @@ def histogram_iqr(df: DataFrame, columns: Sequence[str], bins: int = 10) -> Data
     """``bins`` equal bins on [0, limit]; outside values are dropped, the last bin is closed."""
     values = value_table(df, [], columns)
     limits = iqr_limits(values).select("column", "limit").filter(F.col("limit") > 0)
-    inside = values.join(limits, "column").filter((F.col("value") >= 0) & (F.col("value") <= F.col("limit")))
+    inside = values.join(_per_column(limits, ()), "column").filter((F.col("value") >= 0) & (F.col("value") <= F.col("limit")))
     number = F.least(F.floor(F.col("value") * bins / F.col("limit")), F.lit(bins - 1))
     counted = inside.groupBy("column", "limit", number.alias("bin")).agg(F.sum("n").alias("n"))
     every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -336,7 +341,7 @@ def kernel_density(df: DataFrame, columns: Sequence[str], points: int = 100) ->
         (F.col("std") * F.pow(F.col("count").cast("double"), F.lit(-0.2))).alias("h"),
         (F.col("p50") + 1.5 * (F.col("p75") - F.col("p25"))).alias("limit"),
     ).filter((F.col("h") > 0) & (F.col("limit") > 0))
-    placed = values.join(spread, "column").withColumn(
+    placed = values.join(_per_column(spread, ()), "column").withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     )
     at = F.col("limit") * F.col("point") / (points - 1)

@@ -44,7 +44,8 @@ def sample_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 def hash_bucket(key: Column, buckets: int = 1000) -> Column:
     """A reproducible bucket of an integer key, equal on every run and engine."""
-    return F.pmod(key * F.lit(7919) + F.lit(104729), F.lit(buckets))
+    # The key is reduced first, so that no long overflows.
+    return F.pmod(F.pmod(key, F.lit(buckets)) * F.lit(7919) + F.lit(104729), F.lit(buckets))
 
 
 def sample_by_key(df: DataFrame, fraction: float, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.functions.scalar import time_parts, time_parts_full
+from sensorloom.plans.staging import staged
 
 _EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
 _SITE = "concat('48_201_', lpad(string({}), 4, '0')) AS aqs_code"
@@ -94,7 +95,8 @@ class Tables:
 
     @cached_property
     def sites(self) -> DataFrame:
-        return sites_of(self.readings)
+        # A dimension is written once: it is read several times, and its size is known to the optimizer.
+        return staged(sites_of(self.readings), "sites")
 
     @cached_property
     def station_readings(self) -> DataFrame:
@@ -103,7 +105,7 @@ class Tables:
 
     @cached_property
     def stations(self) -> DataFrame:
-        return sites_of(self.station_readings)
+        return staged(sites_of(self.station_readings), "stations")
 
     @cached_property
     def history(self) -> DataFrame:

@@ -18,6 +18,7 @@ from sensorloom.operators import reshape as rsh
 from sensorloom.operators import rowwindows as rw
 from sensorloom.plans.chain import chain_from_config
 from sensorloom.sources import readings as src
+from sensorloom.sources import sinks
 
 SERIES = "aqs_code string, epoch long, event_id long, o3 double"
 
@@ -435,3 +436,31 @@ def test_splits(frame):
     assert ml.split_tail_validation(df, ["epoch", "event_id"], 0.5).filter("part = 'validate'").count() == 25
     train, test = ml.split_random(df, 0.75, seed=1)
     assert train.count() + test.count() == 50 and train.join(test, "epoch").isEmpty()
+
+
+def test_hash_split_takes_large_keys(frame):
+    df = frame([(2**62 + i,) for i in range(1000)], "id long")
+    assert ml.split_by_key(df, "id", 0.75).filter("part = 'train'").count() == 750
+
+
+def test_null_steps_can_be_masked_on_save(frame):
+    built = rw.sequence_build(windows(frame, [1.0, None, 3.0, None]), ["o3"], 3, 0, with_labels=["o3"])
+    masked = sinks.mask_sequences(built, ["o3"], -1.0).orderBy("window_no").collect()
+    assert [[s.o3 for s in r.seq] for r in masked] == [[1.0, -1.0, 3.0]] and masked[0].label_o3 == -1.0
+
+
+def test_sites_are_written_to_their_own_folders(frame, spark, tmp_path):
+    df = frame([("48_201_0001", 2001, 1.0), ("48_201_0002", 2002, 2.0), ("48_201_0001", 2003, 3.0)],
+               "aqs_code string, data_year int, o3 double")
+    sinks.write_by_site(df, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "aqs_code=48_201_0001" / "data_year=2003").is_dir()
+    rows = src.concat_site_years(spark, str(tmp_path / "out"), ["48_201_0001"], 2000, 2003)
+    assert column(rows, "o3", "o3") == [1.0]
+
+
+def test_cached_table_is_kept_until_reset(frame, spark, tmp_path):
+    path = str(tmp_path / "cache")
+    make = lambda v: (lambda: frame([(v,)], "v int"))
+    assert src.cached_transform(spark, path, make(1)).first().v == 1
+    assert src.cached_transform(spark, path, make(2)).first().v == 1
+    assert src.cached_transform(spark, path, make(2), reset=True).first().v == 2
