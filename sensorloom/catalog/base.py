@@ -83,8 +83,9 @@ def _timed(name: str, of: str) -> str:
     return f"""
 {name}_at AS (SELECT *, make_timestamp(epoch * 1000000) AS stamp FROM {of}),
 {name} AS (
-  SELECT * EXCLUDE (stamp), strftime(stamp, '%H:%M:%S') AS "time", CAST(stamp AS DATE) AS "date", day(stamp) AS "day",
-    month(stamp) AS "month", year(stamp) AS "year", hour(stamp) AS "hour", dayofyear(stamp) AS day_of_year
+  SELECT * EXCLUDE (stamp), strftime(stamp, '%H:%M:%S') AS "time", CAST(stamp AS DATE) AS "date", CAST(day(stamp) AS INTEGER) AS "day",
+    CAST(month(stamp) AS INTEGER) AS "month", CAST(year(stamp) AS INTEGER) AS "year",
+    CAST(hour(stamp) AS INTEGER) AS "hour", CAST(dayofyear(stamp) AS INTEGER) AS day_of_year
   FROM {name}_at)"""
 
 
@@ -97,7 +98,7 @@ HISTORY = """
 history_raw AS (
   SELECT concat('48_201_', lpad(CAST(l_suppkey % 20 AS VARCHAR), 4, '0')) AS aqs_code,
     CAST(floor(epoch(l_shipdate)) AS BIGINT) + ((l_orderkey * 8 + l_linenumber) % 288) * 300 AS epoch,
-    year(l_shipdate) AS data_year,
+    CAST(year(l_shipdate) AS INTEGER) AS data_year,
     CASE WHEN l_linenumber <> 7 THEN l_quantity * 1.5 END AS o3,
     CASE WHEN l_returnflag <> 'R' THEN l_discount * 100 END AS "no",
     CASE WHEN l_suppkey % 20 <> 3 AND l_linestatus <> 'F' THEN l_tax * 1000 END AS nox,

@@ -240,7 +240,7 @@ def _numeric_stats(c: str) -> str:
 
 def _text_stats(c: str) -> str:
     return (
-        f"SELECT '{c}' AS \"column\", sum(n) AS \"count\", count(*) AS \"unique\", "
+        f"SELECT '{c}' AS \"column\", CAST(sum(n) AS BIGINT) AS \"count\", count(*) AS \"unique\", "
         "first(v ORDER BY n DESC, v) AS top, first(n ORDER BY n DESC, v) AS freq, NULL AS mean, NULL AS std, "
         'NULL AS "min", NULL AS p25, NULL AS p50, NULL AS p75, NULL AS "max" '
         f"FROM (SELECT {c} AS v, count(*) AS n FROM readings WHERE {c} IS NOT NULL GROUP BY 1)"

@@ -125,7 +125,7 @@ pairs AS (
     round(sqrt(pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2)), 9) AS distance
   FROM stations a JOIN stations b ON a.aqs_code <> b.aqs_code),
 nearest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aqs_code ORDER BY distance, neighbor) AS rank FROM pairs)
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY aqs_code ORDER BY distance, neighbor) AS INTEGER) AS rank FROM pairs)
   WHERE rank <= 4),
 shares AS (SELECT *, 1 - distance / sum(distance) OVER (PARTITION BY aqs_code) AS score FROM nearest),
 powers AS (SELECT *, exp(score - max(score) OVER (PARTITION BY aqs_code)) AS e FROM shares),
