@@ -63,6 +63,16 @@ def test_a_replayed_batch_changes_nothing(spark, readings, tmp_path):
     assert same(streams.read_batches(spark, path, "windows"), rw.tumble_rows(readings, ["o3", "temp"]))
 
 
+def test_a_restarted_stream_goes_on_where_it_stopped(spark, readings, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "out")
+    got = None
+    for first, last in ((0, 129), (130, 269), (270, 399)):
+        readings.filter(F.col("event_id").between(first, last)).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(FIELDS).parquet(folder)
+        got = streams.stream_tumble_rows(stream, ["o3", "temp"], path)
+    assert same(got, rw.tumble_rows(readings, ["o3", "temp"]))
+
+
 def test_running_bounds(readings, arriving, tmp_path):
     got = streams.stream_running_minmax(arriving, ["o3"], str(tmp_path / "out"))
     want = readings.groupBy("aqs_code").agg(F.min("o3").alias("o3_min"), F.max("o3").alias("o3_max"))
