@@ -168,7 +168,7 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, list[str]]], total: int
                     lo = hi = -1
                     # Windows around seeds; those that overlap are one passage.
                     for at in [*sorted(starts), None]:
-                        if at is not None and at - reach <= hi:
+                        if at is not None and 0 <= hi and at - reach <= hi:
                             hi = min(len(words), at + reach)
                             continue
                         if hi >= 0:

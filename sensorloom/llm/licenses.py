@@ -112,7 +112,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("All-Rights-Reserved", ("Reserved",)),
 )
 
-_CUTS = {"lines": r"\n|[.;:!?](?=[\x20\x09-\x0D]|$)", "joined": r"\n[\x20\x09]*\n|[.;:!?](?=[\x20\x09-\x0D]|$)"}
+_CUTS = {"lines": r"\n|[.;!?](?=[\x20\x09-\x0D]|$)", "joined": r"\n[\x20\x09]*\n|[.;!?](?=[\x20\x09-\x0D]|$)"}
 
 
 def _normal(x: Column) -> Column:
@@ -165,8 +165,8 @@ def _sql() -> str:
     ctes = ["d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(coalesce(text, ''), '" + critical + "'))"]
     for name, cut in _CUTS.items():
         # RE2 has no look-ahead: mark the cuts first, keeping what follows the mark.
-        marked = f"regexp_replace(regexp_replace(text, '{cut.split('|')[0]}', chr(1), 'g'), '[.;:!?]([\\x20\\x09-\\x0D\\x01]|$)', chr(1) || '\\1', 'g')"
-        parts = f"list_filter(string_split(regexp_replace({marked}, '[.;:!?]([\\x20\\x09-\\x0D\\x01]|$)', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '{critical}'))"
+        marked = f"regexp_replace(regexp_replace(text, '{cut.split('|')[0]}', chr(1), 'g'), '[.;!?]([\\x20\\x09-\\x0D\\x01]|$)', chr(1) || '\\1', 'g')"
+        parts = f"list_filter(string_split(regexp_replace({marked}, '[.;!?]([\\x20\\x09-\\x0D\\x01]|$)', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '{critical}'))"
         normal = f"list_transform({parts}, lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .+-]+|[ .+-]+$', '', 'g'))"
         ctes.append(f"{name}0 AS (SELECT doc_id, list_transform({normal}, lambda x: CASE {case} ELSE '?' END) AS ids FROM d)")
         step = f"(SELECT doc_id, ids, coalesce(array_to_string(list_transform(list_filter(ids, lambda x: x <> '?'), lambda x: '<' || x || '>'), ''), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM {name}0)"
