@@ -213,12 +213,11 @@ def _(t: Tables):
 
 
 @query("dft_amplitude", sql(READINGS, """
-long AS (SELECT aqs_code, epoch // 86400 AS "day", epoch, event_id, 'o3' AS measure, o3 AS value FROM readings UNION ALL
-  SELECT aqs_code, epoch // 86400, epoch, event_id, 'windspd', windspd FROM readings),
-samples AS (SELECT *, row_number() OVER (PARTITION BY aqs_code, "day", measure ORDER BY epoch, event_id) - 1 AS j
-  FROM long WHERE value IS NOT NULL),
-firsts AS (SELECT *, count(*) OVER (PARTITION BY aqs_code, "day", measure) AS n FROM samples WHERE j < 288),
-waves AS (SELECT *, unnest(generate_series(0, n // 2 - 1)) AS k FROM firsts WHERE n >= 2),
+slots AS (SELECT aqs_code, epoch // 86400 AS "day", epoch // 300 AS slot, 'o3' AS measure, avg(o3) AS value FROM readings GROUP BY ALL UNION ALL
+  SELECT aqs_code, epoch // 86400, epoch // 300, 'windspd', avg(windspd) FROM readings GROUP BY ALL),
+samples AS (SELECT *, row_number() OVER (PARTITION BY aqs_code, "day", measure ORDER BY slot) - 1 AS j,
+  count(*) OVER (PARTITION BY aqs_code, "day", measure) AS n FROM slots WHERE value IS NOT NULL),
+waves AS (SELECT *, unnest(generate_series(0, n // 2 - 1)) AS k FROM samples WHERE n >= 2),
 spectrum AS (SELECT aqs_code, "day", measure, n, k, sum(value * cos(2 * pi() * ((k * j) % n) / n)) AS re,
   sum(value * sin(2 * pi() * ((k * j) % n) / n)) AS im FROM waves GROUP BY ALL)""", f"""
 SELECT aqs_code, "day", measure, n, k, {r('sqrt(re * re + im * im) / n', 'amplitude')}, {r('k / (n * 300.0)', 'frequency')},

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions.scalar import epoch_time
 from sensorloom.operators.filters import is_daytime, is_highpol_month, is_nighttime
 from sensorloom.operators.joins import high_o3_days
-from sensorloom.plans.ordered import running_total
+from sensorloom.plans.ordered import join_null_safe, running_total
 from sensorloom.plans.scalars import as_value
 from sensorloom.plans.staging import staged
 from sensorloom.schema import EPOCH, SITE, YEAR
@@ -181,7 +181,7 @@ def numeric_summary(values: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
     # Deviations from the mean, not the sum of squares: large values of small spread stay exact.
     spread = (
-        values.join(_per_column(base.select(*keys, "mean"), groups), keys)
+        join_null_safe(values, _per_column(base.select(*keys, "mean"), groups), keys)
         .groupBy(*keys)
         .agg(
             F.sqrt(
@@ -192,7 +192,7 @@ def numeric_summary(values: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
         )
     )
     return (
-        base.join(spread, keys).join(quantiles(values, groups, QUARTILES), keys)
+        join_null_safe(join_null_safe(base, spread, keys), quantiles(values, groups, QUARTILES), keys)
         .select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
     )
 
@@ -236,30 +236,12 @@ def subset_tags(df: DataFrame, limit: float = 40.0) -> DataFrame:
     return subset_flags(df, limit).withColumn("tags", tags).drop(*[f"in_{s}" for s in SUBSETS])
 
 
-def describe_by_site_year(
-    df: DataFrame,
-    numeric: Sequence[str],
-    year: str = YEAR,
-    limit: float = 40.0,
-    max_group_rows: int = 1_000_000,
-) -> DataFrame:
+def describe_by_site_year(df: DataFrame, numeric: Sequence[str], year: str = YEAR, limit: float = 40.0) -> DataFrame:
     """The numeric summary for every (site, year, subset, column).
 
-    One grouped pass over (site, year) serves all subsets and columns as long as the
-    largest group, which is counted first, stays below ``max_group_rows``: an exact
-    percentile holds the values of its group. Beyond that the values are counted per
-    tag combination and ranked in blocks.
+    Values are counted once for each combination of subsets a row is in, so no task
+    holds the values of a group. A missing site or year is a group like any other.
     """
-    largest = df.groupBy(SITE, year).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_group_rows:
-        cells = F.array(*[_cell(s, c) for s in SUBSETS for c in numeric])
-        return (
-            subset_flags(df, limit).groupBy(SITE, year).agg(cells.alias("cells"))
-            .select(SITE, year, F.inline("cells"))
-            .filter(F.col("count") > 0)
-            .withColumns({name: F.col("quartiles")[i] for i, name in enumerate(QUARTILES)})
-            .select(SITE, year, "subset", "column", "count", "mean", "std", "min", *QUARTILES, "max")
-        )
     groups = [SITE, year, "subset"]
     counted = value_table(subset_tags(df, limit), [SITE, year, "tags"], numeric)
     spread = counted.withColumn("subset", F.explode("tags")).groupBy(*groups, "column", "value").agg(
@@ -268,16 +250,6 @@ def describe_by_site_year(
     return numeric_summary(staged(spread, "subset-values"), groups)
 
 
-def _cell(subset: str, column: str) -> Column:
-    """Summary of one column over one subset, as a struct aggregate."""
-    v = F.when(F.col(f"in_{subset}"), F.col(column).cast("double"))
-    return F.struct(
-        F.lit(subset).alias("subset"), F.lit(column).alias("column"), F.count(v).alias("count"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, list(QUARTILES.values())).alias("quartiles"),
-    )
-
-
 def subset_row_counts(df: DataFrame, year: str = YEAR, limit: float = 40.0) -> DataFrame:
     """Rows per subset and year, counted per tag combination first."""
     counted = subset_tags(df, limit).groupBy(year, "tags").count()

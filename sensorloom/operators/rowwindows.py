@@ -7,8 +7,9 @@ chunks of row numbers (see ``plans.ordered``), so a hot site is many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -349,36 +350,32 @@ def complete_runs(df: DataFrame, min_rows: int = 287, step: int = READING_SECOND
     )
 
 
-def dft_amplitude(
-    df: DataFrame,
-    measures: Sequence[str],
-    samples: int = 288,
-    rate_seconds: int = READING_SECONDS,
-    order: Sequence[str] = ORDER,
-) -> DataFrame:
-    """One-sided spectrum of the first ``samples`` values of every site day and measure.
+def dft_amplitude(df: DataFrame, measures: Sequence[str], rate_seconds: int = READING_SECONDS) -> DataFrame:
+    """One-sided spectrum of every site day and measure over the whole day.
 
-    Amplitude |Y| / n, frequency k / T and period in hours for k in 0 .. n/2 - 1. The
-    rank limit is pushed below the shuffle, so a site day is at most ``samples`` rows.
+    Readings are averaged on the grid of ``rate_seconds``; the n slots with a value, at
+    most 86400 / rate of them, are one array and are transformed by a fast Fourier
+    transform. Amplitude |Y| / n, frequency k / T and period in hours for k in
+    0 .. n/2 - 1; days with fewer than two slots have none.
     """
-    day = F.floor(F.col(EPOCH) / 86400).alias("day")
-    values = df.select(SITE, day, *order, *[F.col(m).cast("double").alias(m) for m in measures])
-    long = values.unpivot([SITE, "day", *order], list(measures), "measure", "value").filter(
-        F.col("value").isNotNull()
-    )
-    cell = Window.partitionBy(SITE, "day", "measure")
-    first = long.withColumn("_r", F.row_number().over(cell.orderBy(*order))).filter(F.col("_r") <= samples)
-    counted = first.withColumns({"j": F.col("_r") - 1, "n": F.count(F.lit(1)).over(cell)}).filter(F.col("n") >= 2)
-    waves = counted.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 2) - 1)))
-    # k * j is reduced modulo n first, which keeps the angle small and exact.
-    angle = F.pmod(F.col("k") * F.col("j"), F.col("n")) * F.lit(2 * pi) / F.col("n")
-    spectrum = waves.groupBy(SITE, "day", "measure", "n", "k").agg(
-        F.sum(F.col("value") * F.cos(angle)).alias("re"), F.sum(F.col("value") * F.sin(angle)).alias("im")
-    )
+    day, slot = F.floor(F.col(EPOCH) / 86400).alias("day"), F.floor(F.col(EPOCH) / rate_seconds).alias("_slot")
+    means = df.groupBy(SITE, day, slot).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in measures])
+    long = means.unpivot([SITE, "day", "_slot"], list(measures), "measure", "value").filter(F.col("value").isNotNull())
+    arrays = long.groupBy(SITE, "day", "measure").agg(F.sort_array(F.collect_list(F.struct("_slot", "value"))).alias("_at"))
+    ready = arrays.filter(F.size("_at") >= 2).select(SITE, "day", "measure", F.col("_at.value").alias("values"))
+
+    def transform(batches):
+        for batch in batches:
+            spectra = [np.abs(np.fft.rfft(v))[: len(v) // 2] / len(v) for v in map(np.asarray, batch.column("values").to_pylist())]
+            sizes = pa.array([len(v) for v in batch.column("values")], pa.int64())
+            columns = [*(batch.column(c) for c in (SITE, "day", "measure")), sizes, pa.array(spectra, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[SITE, "day", "measure", "n", "amplitudes"])
+
+    schema = f"{SITE} {ready.schema[SITE].dataType.simpleString()}, day long, measure string, n long, amplitudes array<double>"
+    rows = ready.mapInArrow(transform, schema).select(SITE, "day", "measure", "n", F.posexplode("amplitudes").alias("k", "amplitude"))
     total = F.col("n") * rate_seconds
-    return spectrum.select(
-        SITE, "day", "measure", "n", "k",
-        (F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("amplitude"),
+    return rows.select(
+        SITE, "day", "measure", "n", F.col("k").cast("long").alias("k"), "amplitude",
         (F.col("k") / total).alias("frequency"),
         F.try_divide(total, F.col("k") * 3600).alias("period_hours"),
     )

@@ -23,6 +23,15 @@ MAX_BLOCK_ROWS = 1_000_000
 DAY = 86_400
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where a null key equals a null key; the columns of ``left`` come first."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"`__right_{k}`"))
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def with_blocks(
     df: DataFrame,
     keys: Sequence[str],
@@ -38,7 +47,7 @@ def with_blocks(
     writes the block table: the row count ``__n`` and the aggregates ``totals``. If
     the largest block is too big, the rows are range-partitioned on ``keys + order``
     instead, so any unique order splits evenly, and staged so that the partition
-    numbers stay fixed. A row without a key belongs to no series and is left out.
+    numbers stay fixed; ``max_rows=0`` always does so. Both ways give the same rows.
     """
     if width is None:
         block = F.lit(0).cast("long")
@@ -82,7 +91,7 @@ def number_rows(
     width: int | None = DAY,
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact zero-based row number per key, and optionally the key's row count."""
+    """Exact zero-based row number per key, and optionally the key's row count. Rows without a key belong to no series and are left out."""
     blocked, blocks = with_blocks(df, keys, order, (), width, max_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     joined = blocked.withColumn("__in", F.row_number().over(inside)).join(
@@ -104,13 +113,12 @@ def running_total(
     width: int | None = DAY,
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
-    """Running sum of ``value`` per key up to and including the row."""
+    """Running sum of ``value`` per key up to and including the row; a null key is a key."""
     valued = df.withColumn("__v", value)
     blocked, blocks = with_blocks(valued, keys, order, [F.sum("__v").alias("__t")], width, max_rows)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = blocked.withColumn("__in", F.sum("__v").over(inside)).join(
-        _carried(blocks, keys, "__t"), [*keys, BLOCK]
-    )
+    summed = blocked.withColumn("__in", F.sum("__v").over(inside))
+    joined = join_null_safe(summed, _carried(blocks, keys, "__t"), [*keys, BLOCK])
     joined = joined.withColumn(out, F.col("__before") + F.col("__in"))
     if total:
         joined = joined.withColumn(total, F.col("__all"))
@@ -125,7 +133,15 @@ def nearest_values(
     width: int | None = DAY,
     max_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
-    """Add ``_prev_c`` and ``_next_c``: the last value at or before and the first at or after a row."""
+    """Add ``_prev_c`` and ``_next_c``: the last value at or before and the first at or after a row.
+
+    Rows without a key belong to no series: they stay, and have their own value only.
+    """
+    alone = F.lit(False)
+    for k in keys:
+        alone = alone | F.col(k).isNull()
+    single = df.where(alone).select("*", *[F.col(c).alias(f"_{side}_{c}") for side in ("prev", "next") for c in columns])
+    names, df = df.columns, df.where(~alone)
     place = F.struct(*order)
     edges = [
         pick(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{name}_{c}")
@@ -149,10 +165,10 @@ def nearest_values(
         *[F.last(c, ignorenulls=True).over(back).alias(f"_in_next_{c}") for c in columns],
     ).join(carried, [*keys, BLOCK])
     return found.select(
-        *df.columns,
+        *names,
         *[F.coalesce(f"_in_prev_{c}", f"_before_{c}").alias(f"_prev_{c}") for c in columns],
         *[F.coalesce(f"_in_next_{c}", f"_after_{c}").alias(f"_next_{c}") for c in columns],
-    )
+    ).unionByName(single)
 
 
 def over_chunks(

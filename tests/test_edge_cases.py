@@ -146,9 +146,11 @@ def test_spectrum_of_a_pure_wave(frame):
     assert all(abs(a) < 1e-9 for i, a in got.items() if i != k)
 
 
-def test_spectrum_uses_the_first_samples_only(frame):
-    df = series(frame, [1.0] * 4 + [100.0] * 4)
-    assert {r.k: r.amplitude for r in rw.dft_amplitude(df, ["o3"], samples=4).collect()}[0] == pytest.approx(1.0)
+def test_spectrum_uses_the_whole_day(frame):
+    rows = [("a", 100 * i, i, float(i // 3 % 2)) for i in range(864)]
+    df = frame(rows, "aqs_code string, epoch long, event_id long, o3 double")
+    got = {r.k: (r.n, r.amplitude) for r in rw.dft_amplitude(df, ["o3"]).collect()}
+    assert set(got) == set(range(144)) and got[0] == (288, pytest.approx(0.5))
 
 
 # --- scaling ----------------------------------------------------------------
@@ -310,17 +312,25 @@ def test_quantiles_of_many_values_use_ranges(spark, monkeypatch):
     assert (got.p25, got.p50, got.p75) == (250.0, 500.0, 750.0)
 
 
-def test_profile_of_large_groups_equals_that_of_small_ones(frame):
-    rows = [("ab"[i % 2], 2000 + i % 3, 300 * i, i % 24, 1 + i % 12, None if i % 5 == 0 else float(i % 50)) for i in range(400)]
+def test_profile_has_groups_without_site_or_year(frame):
+    rows = [(("a", "b", None)[i % 3], (2000, 2001, 2002, None)[i % 4], 300 * i, i % 24, 1 + i % 12, None if i % 5 == 0 else float(i % 50)) for i in range(400)]
     df = frame(rows, "aqs_code string, data_year int, epoch long, hour int, month int, o3 double")
-    key = lambda r: (r.aqs_code, r.data_year, r.subset, r.column)
-    small, large = (
-        sorted(pf.describe_by_site_year(df, ["o3"], max_group_rows=n).collect(), key=key) for n in (10**6, 10)
-    )
-    assert [key(r) for r in small] == [key(r) for r in large] and len(small) == 30
-    for a, b in zip(small, large):
-        assert a.asDict().items() >= {"count": b["count"]}.items()
-        assert [a[c] for c in a.__fields__[4:]] == pytest.approx([b[c] for c in a.__fields__[4:]])
+    got = {(r.aqs_code, r.data_year): r for r in pf.describe_by_site_year(df, ["o3"]).collect() if r.subset == "overall"}
+    plain = df.toPandas().dropna(subset=["o3"]).groupby(["aqs_code", "data_year"], dropna=False)["o3"]
+    assert len(got) == plain.ngroups == 12
+    for (site, year), values in plain:
+        r = got[None if site != site else site, None if year != year else int(year)]
+        want = values.describe()
+        assert [r["count"], r["mean"], r["std"], r["min"], r["p25"], r["p50"], r["p75"], r["max"]] == pytest.approx(list(want))
+
+
+def test_bracket_mean_keeps_rows_without_site(frame):
+    rows = [(None if i % 5 == 0 else "a", 300 * i, i, None if i % 4 == 1 else float(i)) for i in range(100)]
+    df = frame(rows, "aqs_code string, epoch long, event_id long, o3 double")
+    got = {r.event_id: r.o3 for r in im.impute_bracket_mean(df, ["o3"]).collect()}
+    assert len(got) == 100
+    assert got[5] is None and got[10] == 10.0  # without a site: nothing to fill from
+    assert got[1] is None and got[9] == (8 + 11) / 2  # 10 has no site
 
 
 def test_histogram_closes_the_last_bin(frame):
