@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -59,34 +60,34 @@ def _(t: Tables):
 
 @query("stream_hourly_mean", sql(READINGS, f"""
 SELECT aqs_code, epoch // 3600 * 3600 AS hour_epoch, {r('avg(o3)', 'o3')}, {r('avg(temp)', 'temp')} FROM readings
-WHERE epoch // 3600 * 3600 + 3600 <= (SELECT max(epoch) FROM readings) - 7200 GROUP BY 1, 2"""))
+GROUP BY 1, 2"""))
 def _(t: Tables):
     return streams.stream_hourly_mean(t.stream_readings(), ["o3", "temp"], new_path(t.spark, "stream"))
 
 
 # --- matrix completion ------------------------------------------------------
 
-def _rounds(n: int) -> str:
-    steps, last = [], "cells"
-    for i in range(n):
-        for axis in ("row", "col"):
-            name = f"s{i}{axis}"
-            spread = f'stddev_pop(scaled) OVER (PARTITION BY "{axis}")'
-            steps.append(
-                f'{name} AS (SELECT "row", "col", value, (scaled - avg(scaled) OVER (PARTITION BY "{axis}")) '
-                f"/ CASE WHEN {spread} > 1e-12 THEN {spread} ELSE 1 END AS scaled FROM {last})"
-            )
-            last = name
-    return ", ".join(steps) + f', final AS (SELECT * FROM {last})'
-
-
-@query("biscale", sql(READINGS, """
-cells AS (SELECT CAST(epoch // 3600 AS INTEGER) AS "row", concat(aqs_code, '|', m) AS "col", avg(v) AS value, avg(v) AS scaled
+CELLS = """
+cells AS (SELECT CAST(epoch // 3600 AS INTEGER) AS "row", concat(aqs_code, '|', m) AS "col", avg(v) AS value
   FROM (SELECT aqs_code, epoch, 'o3' AS m, o3 AS v FROM readings UNION ALL SELECT aqs_code, epoch, 'temp', temp FROM readings)
-  GROUP BY 1, 2)""", _rounds(2), f"""SELECT "row", "col", {rs('value', 'scaled')} FROM final"""))
+  GROUP BY 1, 2)"""
+
+
+@query("biscale", sql(READINGS, CELLS, f"""
+SELECT "row", "col", {r('value', 'value')}, true AS restored, true AS row_centred, true AS col_centred, true AS row_even, true AS col_even
+FROM cells"""))
 def _(t: Tables):
-    cells = im.matrix_cells(t.readings, ["o3", "temp"])
-    return im.biscale(cells, rounds=2).select("row", "col", "value", "scaled")
+    """The fixed point: observed cells scale back to their value, rows and columns have mean 0 and one deviation."""
+    cells = im.biscale(im.matrix_cells(t.readings, ["o3", "temp"]))
+    out = cells.withColumn(
+        "restored", F.coalesce(F.abs(F.col("scaled") * F.col("scale") + F.col("shift") - F.col("value")) < 1e-6, F.lit(True))
+    )
+    for axis in ("row", "col"):
+        stats = cells.groupBy(axis).agg(F.avg("scaled").alias("_m"), F.stddev_pop("scaled").alias("_s"))
+        even = F.coalesce((F.abs(F.col("_s") - 1) < 1e-3) | (F.col("_s") < 1e-3), F.lit(True))
+        centred = F.coalesce(F.abs("_m") < 1e-3, F.lit(True))
+        out = out.join(stats.select(axis, centred.alias(f"{axis}_centred"), even.alias(f"{axis}_even")), axis)
+    return out.select("row", "col", "value", "restored", "row_centred", "col_centred", "row_even", "col_even")
 
 
 @query("impute_low_rank")
@@ -110,7 +111,7 @@ def _(t: Tables):
 def _examples(t: Tables, label: str = "o3"):
     """Assembled rows with the label, split by key and staged for the repeated passes of a fit."""
     rows = t.timed.filter(F.col(label).isNotNull()).select("event_id", *INPUTS, F.col(label).alias("label"))
-    ready = staged(ml.split_by_key(ml.assemble(rows, INPUTS), "event_id"), "examples")
+    ready = staged(ml.split_random(ml.assemble(rows, INPUTS), "event_id"), "examples")
     return ready.filter("part = 'train'"), ready.filter("part = 'test'")
 
 
@@ -138,7 +139,7 @@ def _(t: Tables):
 def _(t: Tables):
     targets = ["no", "nox", "o3"]
     rows = t.timed.dropna(subset=targets).select("event_id", *INPUTS, *targets)
-    ready = staged(ml.split_by_key(ml.assemble(rows, INPUTS), "event_id"), "examples")
+    ready = staged(ml.split_random(ml.assemble(rows, INPUTS), "event_id"), "examples")
     train, test = ready.filter("part = 'train'"), ready.filter("part = 'test'")
     _, scored = ml.rf_regress_multi(train, test, targets, trees=5, depth=5)
     return scored.select("event_id", *targets, *[f"pred_{x}" for x in targets])
@@ -165,7 +166,7 @@ line AS (SELECT regr_slope(o3, "hour") AS slope, regr_intercept(o3, "hour") AS b
 SELECT event_id, {r('o3', 'label')}, {r('base + slope * "hour"', 'prediction')} FROM rows_, line WHERE NOT train"""))
 def _(t: Tables):
     rows = t.timed.filter("o3 IS NOT NULL").select("event_id", "hour", F.col("o3").alias("label"))
-    ready = staged(ml.split_by_key(ml.assemble(rows, ["hour"]), "event_id"), "examples")
+    ready = staged(ml.split_random(ml.assemble(rows, ["hour"]), "event_id"), "examples")
     _, scored = ml.linear_regress(ready.filter("part = 'train'"), ready.filter("part = 'test'"), "label")
     return scored.select("event_id", "label", "prediction")
 
@@ -202,9 +203,15 @@ def _embedded(t: Tables):
     return ml.vectors(t.read("embeddings").select("vec_id", "embedding"), "embedding")
 
 
-@query("kmeans_sweep")
+@query("kmeans_sweep", """
+SELECT CAST(k AS INTEGER) AS k, true AS converged, true AS within_total, n AS n_rows
+FROM (SELECT unnest(generate_series(4, 18, 2)) AS k), (SELECT count(*) AS n FROM embeddings)""")
 def _(t: Tables):
-    return ml.kmeans_sweep(_embedded(t))
+    """Every fit converges, has at most the inertia of a single cluster, and puts each row into a cluster."""
+    rows = staged(_embedded(t), "embedded")
+    spread = rows.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).first()["s"]
+    total = float(sum(spread["variance"])) * (spread["count"] - 1)  # the inertia of a single cluster
+    return ml.kmeans_sweep(rows).select("k", "converged", (F.col("inertia") <= total).alias("within_total"), "n_rows")
 
 
 @query("cluster_sizes")

@@ -246,4 +246,4 @@ def _(t: Tables):
 @query("sample_rows", sql(READINGS, f"""
 SELECT event_id, aqs_code, {r('o3', 'o3')} FROM readings WHERE (event_id * 7919 + 104729) % 1000 < 100"""))
 def _(t: Tables):
-    return st.sample_by_key(t.readings.select("event_id", "aqs_code", "o3"), 0.1, "event_id")
+    return st.sample_rows(t.readings.select("event_id", "aqs_code", "o3"), 0.1, "event_id")

@@ -292,7 +292,7 @@ def _(t: Tables):
 @query("split_random", sql(READINGS, """
 SELECT event_id, aqs_code, CASE WHEN (event_id * 7919 + 104729) % 1000 < 750 THEN 'train' ELSE 'test' END AS part FROM readings"""))
 def _(t: Tables):
-    return ml.split_by_key(t.readings, "event_id", 0.75).select("event_id", "aqs_code", "part")
+    return ml.split_random(t.readings, "event_id", 0.75).select("event_id", "aqs_code", "part")
 
 
 def _chronological(share: str) -> str:

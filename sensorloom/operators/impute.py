@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import softmax_weights
 from sensorloom.operators.filters import any_null
-from sensorloom.plans.ordered import nearest_values
+from sensorloom.plans.ordered import join_null_safe, nearest_values
 from sensorloom.plans.staging import staged
 from sensorloom.schema import EPOCH, ROW_ID, SITE
 
@@ -96,14 +96,17 @@ def matrix_cells(df: DataFrame, measures: Sequence[str], bucket_seconds: int = 3
     )
 
 
-def biscale(cells: DataFrame, rounds: int = 5) -> DataFrame:
-    """Centre and scale rows and columns of a cell frame in turn, a fixed number of rounds.
+def biscale(cells: DataFrame, tolerance: float = 1e-4, max_rounds: int = 100) -> DataFrame:
+    """Centre and scale rows and columns of a cell frame in turn until both are even.
 
-    Each round is two grouped aggregates; its result is staged to keep the plan short.
-    ``scaled`` is the result, so value = scaled x ``scale`` + ``shift``.
+    Each round is two grouped aggregates, staged to keep the plan short; it ends when no
+    row or column was shifted by more than ``tolerance`` or scaled by more than that
+    share. ``scaled`` is the result, so value = scaled x ``scale`` + ``shift``. A row or
+    column of equal values is centred only.
     """
-    state = cells.withColumns({"scaled": F.col("value"), "shift": F.lit(0.0), "scale": F.lit(1.0)})
-    for _ in range(rounds):
+    state = cells.withColumns({"scaled": F.col("value"), "shift": F.lit(0.0), "scale": F.lit(1.0), "_moved": F.lit(0.0)})
+    for _ in range(max_rounds):
+        state = state.withColumn("_moved", F.lit(0.0))
         for axis in ("row", "col"):
             stats = state.groupBy(axis).agg(
                 F.avg("scaled").alias("_mean"), F.stddev_pop("scaled").alias("_std")
@@ -111,29 +114,32 @@ def biscale(cells: DataFrame, rounds: int = 5) -> DataFrame:
             mean = F.coalesce("_mean", F.lit(0.0))
             width = F.when(F.col("_std") > 1e-12, F.col("_std")).otherwise(F.lit(1.0))
             state = (
-                state.join(stats, axis)
+                join_null_safe(state, stats, [axis])
                 .withColumns({"_mean": mean, "_width": width})
                 .withColumns(
                     {
                         "scaled": (F.col("scaled") - F.col("_mean")) / F.col("_width"),
                         "shift": F.col("shift") + F.col("scale") * F.col("_mean"),
                         "scale": F.col("scale") * F.col("_width"),
+                        "_moved": F.greatest("_moved", F.abs("_mean"), F.abs(F.col("_width") - 1)),
                     }
                 )
                 .drop("_mean", "_std", "_width")
             )
         state = staged(state, "biscale")
-    return state
+        if (state.agg(F.max("_moved")).first()[0] or 0.0) <= tolerance:
+            return state.drop("_moved")
+    raise RuntimeError(f"rows and columns are not even within {tolerance} after {max_rounds} rounds")
 
 
 def impute_low_rank(
-    cells: DataFrame, rank: int = 4, iterations: int = 10, regularization: float = 0.1, seed: int = 0, rounds: int = 2
+    cells: DataFrame, rank: int = 4, iterations: int = 30, regularization: float = 0.1, seed: int = 0, tolerance: float = 1e-4
 ) -> DataFrame:
     """Complete the null cells of a (row, col, value) frame by a low-rank model of the observed ones.
 
     Cells are biscaled, factorised by alternating least squares and scaled back.
     """
-    ready = biscale(cells, rounds)
+    ready = biscale(cells, tolerance)
     indexed = StringIndexer(inputCol="col", outputCol="_col").fit(ready).transform(ready)
     indexed = indexed.withColumn("_col", F.col("_col").cast("int"))
     model = ALS(

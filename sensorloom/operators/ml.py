@@ -48,12 +48,13 @@ def load_minmax_scaler(path: str) -> MinMaxScalerModel:
 
 # --- splits -----------------------------------------------------------------
 
-def split_random(df: DataFrame, train: float = 0.75, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def split_seeded(df: DataFrame, train: float = 0.75, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Two frames by Spark's own random numbers; the rows depend on how the input is partitioned."""
     first, second = df.randomSplit([train, 1 - train], seed)
     return first, second
 
 
-def split_by_key(df: DataFrame, key: str, train: float = 0.75) -> DataFrame:
+def split_random(df: DataFrame, key: str, train: float = 0.75) -> DataFrame:
     """Add ``part`` by a hash of the key: the same rows on every run, no shuffle."""
     inside = hash_bucket(F.col(key)) < round(train * 1000)
     return df.withColumn("part", F.when(inside, F.lit("train")).otherwise(F.lit("test")))
@@ -214,22 +215,30 @@ def impute_by_model(df: DataFrame, estimator: Estimator, features: Sequence[str]
 
 # --- clustering and components ----------------------------------------------
 
-def kmeans_fit(df: DataFrame, k: int, seed: int = 0, column: str = "features") -> Model:
-    return KMeans(k=k, seed=seed, featuresCol=column).fit(df)
+def kmeans_fit(df: DataFrame, k: int, seed: int = 0, column: str = "features", max_iterations: int = 300) -> Model:
+    return KMeans(k=k, seed=seed, featuresCol=column, maxIter=max_iterations).fit(df)
 
 
-def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(4, 20, 2), seed: int = 0, parallelism: int = 4) -> DataFrame:
-    """Inertia and iterations per k; the input is staged once and several fits run at a time."""
+def kmeans_sweep(
+    df: DataFrame, ks: Sequence[int] = range(4, 20, 2), seed: int = 0, parallelism: int = 4, max_iterations: int = 300
+) -> DataFrame:
+    """Inertia, iterations, convergence and clustered rows per k; the input is staged once and several fits run at a time."""
     ready = staged(df.select("features"), "kmeans").persist()
 
-    def fit(k: int) -> tuple[int, float, int]:
-        summary = kmeans_fit(ready, k, seed).summary
-        return k, float(summary.trainingCost), int(summary.numIter)
+    def fit(k: int) -> tuple[int, float, int, bool, int]:
+        summary = kmeans_fit(ready, k, seed, max_iterations=max_iterations).summary
+        return k, float(summary.trainingCost), int(summary.numIter), int(summary.numIter) < max_iterations, sum(summary.clusterSizes)
 
     with ThreadPool(parallelism) as pool:
         rows = pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)
     ready.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, iterations int")
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, iterations int, converged boolean, n_rows long")
+
+
+def cluster_centres(model: Model) -> DataFrame:
+    """One row for each cluster: its number and centre."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return model.summary.cluster.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
 
 
 def cluster_sizes(labeled: DataFrame) -> DataFrame:

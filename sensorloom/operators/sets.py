@@ -38,7 +38,8 @@ def head_n(df: DataFrame, n: int, by: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*by).limit(n)
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
+def sample_seeded(df: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Sample by Spark's own random numbers; the rows depend on how the input is partitioned."""
     return df.sample(fraction=fraction, seed=seed)
 
 
@@ -48,7 +49,7 @@ def hash_bucket(key: Column, buckets: int = 1000) -> Column:
     return F.pmod(F.pmod(key, F.lit(buckets)) * F.lit(7919) + F.lit(104729), F.lit(buckets))
 
 
-def sample_by_key(df: DataFrame, fraction: float, key: str) -> DataFrame:
+def sample_rows(df: DataFrame, fraction: float, key: str) -> DataFrame:
     """Reproducible sample: the same keys are kept on every run."""
     return df.filter(hash_bucket(F.col(key)) < round(fraction * 1000))
 

@@ -42,8 +42,8 @@ def write_sequences(sequences: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def site_dim_export(sites: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The site table, one file."""
-    sites.coalesce(1).write.mode(mode).parquet(path)
+    """The site table, one file; what makes the table still runs in parallel."""
+    sites.repartition(1).write.mode(mode).parquet(path)
 
 
 def mask_sequences(sequences: DataFrame, features: Sequence[str], mask: float) -> DataFrame:

@@ -1,9 +1,10 @@
 """The batch operators on streams, with carried rows kept between micro-batches.
 
-Row-count windows need the rows a batch leaves over. They are kept as versioned
-tables next to the output, one version per batch id: a batch reads version b - 1 and
-writes version b, and its output goes to a directory of its own. A replayed batch
-overwrites exactly what it wrote before, so results are exact after a failure. Rows of
+Row-count windows need the rows a batch leaves over. They are kept as tables next to
+the output, in places that three batches share in turn: batch b reads place b - 1 and
+overwrites place b, and its output goes to a directory of its own. A replayed batch
+overwrites exactly what it wrote before, so results are exact after a failure, and
+the state takes the same room however long the stream runs. Rows of
 one hot site are numbered by blocks as in the batch operators, not in one task. Late
 rows join the batch they arrive in and are never re-windowed.
 """
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.rowwindows import ORDER, WINDOW, block_means, sequence_build
 from sensorloom.plans.ordered import number_rows
-from sensorloom.plans.staging import staged
 from sensorloom.schema import BLOCK_ROWS, EPOCH, MAX_NULL_SHARE, PREDICTION_ROWS, SEQUENCE_ROWS, SITE
 
 
@@ -34,6 +34,17 @@ def _version(path: str, name: str, batch_id: int) -> str:
     return f"{path}/{name}/batch={batch_id}"
 
 
+def _place(path: str, name: str, batch_id: int) -> str:
+    """Where a batch keeps state; reused by the third batch after it."""
+    return f"{path}/{name}/place={batch_id % 3}"
+
+
+def _kept(rows: DataFrame, place: str) -> DataFrame:
+    """Write ``rows`` over what the place held and continue from the written table."""
+    rows.write.mode("overwrite").parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 # --- stateless --------------------------------------------------------------
 
 def stream_transform(
@@ -68,8 +79,8 @@ def tumble_batches(
             held, done = None, None
             lined = new
         else:
-            held = spark.read.parquet(_version(path, "left", batch_id - 1))
-            done = spark.read.parquet(_version(path, "done", batch_id - 1))
+            held = spark.read.parquet(_place(path, "left", batch_id - 1))
+            done = spark.read.parquet(_place(path, "done", batch_id - 1))
             # At most rows - 1 rows of a site are carried; new rows queue up behind them.
             ahead = held.groupBy(SITE).agg(F.count(F.lit(1)).alias("_k"))
             lined = (
@@ -77,7 +88,7 @@ def tumble_batches(
                 .withColumn("_rn", F.col("_rn") + F.coalesce("_k", F.lit(0))).drop("_k")
                 .unionByName(held)
             )
-        lined = staged(lined, "lined")
+        lined = _kept(lined, _place(path, "lined", batch_id))
         sizes = lined.groupBy(SITE).agg(F.floor(F.count(F.lit(1)) / rows).alias("_full"))
         if done is None:
             counts = sizes.withColumn("_done", F.lit(0).cast("long"))
@@ -95,9 +106,9 @@ def tumble_batches(
         )
         placed.filter(F.col("_rn") >= F.col("_full") * rows).select(
             SITE, *order, *features, (F.col("_rn") - F.col("_full") * rows).alias("_rn")
-        ).write.mode("overwrite").parquet(_version(path, "left", batch_id))
+        ).write.mode("overwrite").parquet(_place(path, "left", batch_id))
         counts.select(SITE, (F.col("_done") + F.col("_full")).alias("n_windows")).write.mode("overwrite").parquet(
-            _version(path, "done", batch_id)
+            _place(path, "done", batch_id)
         )
 
     return each
@@ -123,14 +134,14 @@ def sequence_batches(
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(SITE, WINDOW, *features)
         if batch_id > 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(_version(path, "last", batch_id - 1)))
-        rows = staged(rows, "lined")
+            rows = rows.unionByName(batch.sparkSession.read.parquet(_place(path, "last", batch_id - 1)))
+        rows = _kept(rows, _place(path, "lined", batch_id))
         built = sequence_build(rows, features, length, prediction, with_labels=with_labels)
         built.write.mode("overwrite").parquet(_version(path, "sequences", batch_id))
         newest = rows.groupBy(SITE).agg(F.max(WINDOW).alias("_newest"))
         rows.join(newest, SITE).filter(F.col(WINDOW) > F.col("_newest") - carry).drop("_newest").write.mode(
             "overwrite"
-        ).parquet(_version(path, "last", batch_id))
+        ).parquet(_place(path, "last", batch_id))
 
     return each
 
@@ -155,14 +166,17 @@ def stream_running_minmax(stream: DataFrame, features: Sequence[str], path: str)
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_version(path, "bounds", batch_id))
+        if batch_id > 0:
+            # The table of the batch before, with the sites that changed in their new state.
+            before = batch.sparkSession.read.parquet(_place(path, "bounds", batch_id - 1))
+            batch = before.join(batch.select(SITE), SITE, "left_anti").unionByName(batch)
+        batch.write.mode("overwrite").parquet(_place(path, "bounds", batch_id))
+        batch.sparkSession.createDataFrame([(batch_id,)], "batch long").write.mode("append").parquet(f"{path}/done")
 
     run_available(bounds, f"{path}/checkpoint", each, mode="update")
-    # Bounds only widen, so the merge of all versions is the latest state.
-    return read_batches(stream.sparkSession, path, "bounds").groupBy(SITE).agg(
-        *[F.min(f"{f}_min").alias(f"{f}_min") for f in features],
-        *[F.max(f"{f}_max").alias(f"{f}_max") for f in features],
-    )
+    spark = stream.sparkSession
+    last = spark.read.parquet(f"{path}/done").agg(F.max("batch")).first()[0]
+    return spark.read.parquet(_place(path, "bounds", last))
 
 
 def hourly_stream(stream: DataFrame, measures: Sequence[str], delay: str = "2 hours") -> DataFrame:
@@ -176,10 +190,12 @@ def hourly_stream(stream: DataFrame, measures: Sequence[str], delay: str = "2 ho
 
 
 def stream_hourly_mean(stream: DataFrame, measures: Sequence[str], path: str, delay: str = "2 hours") -> DataFrame:
-    """Closed hours appended to a table."""
-    query = (
-        hourly_stream(stream, measures, delay).writeStream.format("parquet").option("path", f"{path}/hours")
-        .option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/hours")
+    """Every hour's mean so far, open hours included; an hour that gets later rows is written anew by their batch."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_version(path, "hours", batch_id))
+
+    run_available(hourly_stream(stream, measures, delay), f"{path}/checkpoint", each, mode="update")
+    versions = stream.sparkSession.read.parquet(f"{path}/hours")
+    latest = versions.groupBy(SITE, "hour_epoch").agg(F.max_by(F.struct(*measures), "batch").alias("_m"))
+    return latest.select(SITE, "hour_epoch", *[F.col(f"_m.{m}").alias(m) for m in measures])

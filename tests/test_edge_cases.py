@@ -444,13 +444,13 @@ def test_splits(frame):
     parts = ml.split_chronological(df, ["epoch", "event_id"]).filter("part = 'train'")
     assert sorted(r.epoch for r in parts.collect()) == list(range(33))
     assert ml.split_tail_validation(df, ["epoch", "event_id"], 0.5).filter("part = 'validate'").count() == 25
-    train, test = ml.split_random(df, 0.75, seed=1)
+    train, test = ml.split_seeded(df, 0.75, seed=1)
     assert train.count() + test.count() == 50 and train.join(test, "epoch").isEmpty()
 
 
 def test_hash_split_takes_large_keys(frame):
     df = frame([(2**62 + i,) for i in range(1000)], "id long")
-    assert ml.split_by_key(df, "id", 0.75).filter("part = 'train'").count() == 750
+    assert ml.split_random(df, "id", 0.75).filter("part = 'train'").count() == 750
 
 
 def test_null_steps_can_be_masked_on_save(frame):
