@@ -13,8 +13,9 @@ from sensorloom.operators import profile as pf
 from sensorloom.operators import rowwindows as rw
 from sensorloom.operators.filters import filter_valid_flags
 from sensorloom.operators.joins import nearest_k_sites
-from sensorloom.plans.chain import chain_from_config
-from sensorloom.plans.staging import staged
+from sensorloom.plans.chain import chain_from_config, pipeline_from_config
+from sensorloom.plans.staging import new_path, staged
+from sensorloom.sources.sinks import write_yearly_csv
 
 FEATURES = ["o3", "no", "temp", "windspd"]
 QUOTED = ', '.join(f'"{f}"' for f in FEATURES)
@@ -349,7 +350,7 @@ CONFIG = {
 }
 
 
-@query("chain_from_config", sql(READINGS, """
+_CHAIN = sql(READINGS, """
 filled AS (SELECT aqs_code, epoch, event_id, temp, coalesce(o3, 10000) AS o3, coalesce("no", 10000) AS "no" FROM readings),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY aqs_code ORDER BY epoch, event_id) - 1 AS rn FROM filled),
 labeled AS (SELECT *, max("no" > 40 OR o3 > 80) OVER (PARTITION BY aqs_code ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS high,
@@ -361,11 +362,24 @@ slid AS (SELECT aqs_code, rn AS window_no, avg(temp) OVER w AS temp, avg(o3) OVE
 full_windows AS (SELECT * FROM slid WHERE last_rn IS NOT NULL)""", f"""
 SELECT e.aqs_code, e.window_no, CAST(s.window_no - e.window_no + 7 AS INTEGER) AS step, {r('s.temp', 'temp')}, {r('s.o3', 'o3')}, s.epoch, s.high
 FROM full_windows e JOIN full_windows s ON s.aqs_code = e.aqs_code AND s.window_no BETWEEN e.window_no - 7 AND e.window_no
-WHERE e.window_no >= 7"""))
+WHERE e.window_no >= 7""")
+
+
+@query("chain_from_config", _CHAIN)
 def _(t: Tables):
     return rw.sequence_unnest(chain_from_config(t.readings, CONFIG)["short"])
 
 
+@query("pipeline_from_config", _CHAIN)
+def _(t: Tables):
+    """Yearly files in, one written table per windower out."""
+    path, columns = new_path(t.spark, "configured"), ["aqs_code", "event_id", "epoch", "no", "o3", "temp"]
+    rows = t.readings.select(*columns, "data_year")
+    write_yearly_csv(rows, f"{path}/in", CONFIG["years"])
+    config = CONFIG | {"input_path": f"{path}/in", "input_prefix": "Data_", "output_path": f"{path}/out"}
+    return rw.sequence_unnest(pipeline_from_config(t.spark, config, rows.select(*columns).schema)["short"])
+
+
 _VALID = """CASE WHEN data_year < 2014
   THEN nox_flag = 'VAL' AND no_flag = 'VAL' AND no2_flag = 'VAL' AND o3_flag = 'VAL' AND temp_flag = 'VAL'
   ELSE nox_flag = 'K' AND no_flag = 'K' AND o3_flag = 'K' AND temp_flag = 'K' END AND winddir IS NOT NULL"""

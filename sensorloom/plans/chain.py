@@ -6,12 +6,15 @@ import json
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from sensorloom.functions.scalar import time_parts, time_parts_full, wind_vector
 from sensorloom.operators.filters import drop_any_null, fill_null_const, filter_sites, mask_null_rows
 from sensorloom.operators.rowwindows import ORDER, label_threshold_or, sequence_build, slide_window
 from sensorloom.plans.ordered import number_rows
-from sensorloom.schema import SITE, YEAR
+from sensorloom.schema import READING_SCHEMA, SITE, YEAR
+from sensorloom.sources.readings import read_readings
 
 
 def load_config(path: str) -> dict[str, Any]:
@@ -53,6 +56,8 @@ def chain_from_config(df: DataFrame, config: dict[str, Any], order: Sequence[str
         df = label_threshold_or(
             df, limits, rule["future_samples"], rule.get("invert", False), row="_rn", out=rule["name"]
         )
+        if rule.get("type", "boolean") != "boolean":
+            df = df.withColumn(rule["name"], df[rule["name"]].cast(rule["type"]))
         labels.append(rule["name"])
     frames = {}
     for windower in config["windowers"]:
@@ -65,3 +70,30 @@ def chain_from_config(df: DataFrame, config: dict[str, Any], order: Sequence[str
             windows = sequence_build(windows, [*continuous, *discrete], length, prediction=0)
         frames[windower["name"]] = windows
     return frames
+
+
+def pipeline_from_config(
+    spark: SparkSession, config: dict[str, Any], schema: T.StructType = READING_SCHEMA, order: Sequence[str] = ORDER
+) -> dict[str, DataFrame]:
+    """Read the configured years below ``input_path``, run the chain and write one table per windower below ``output_path``.
+
+    Files are ``{input_prefix}{year}.csv``; absent years are skipped. Wind components
+    and calendar columns are derived if a windower names them. Returns the written tables.
+    """
+    years = config["years"]
+    rows = read_readings(
+        spark, config["input_path"], min(years), max(years) + 1, config.get("input_prefix", "Data_"), schema=schema, skip_absent=True
+    )
+    wanted = {key["name"] for windower in config["windowers"] for key in windower["keys"]}
+    if wanted & {"wind_x_dir", "wind_y_dir"}:
+        rows = wind_vector(rows)
+    if wanted & {"hour", "day_of_year"}:
+        rows = time_parts(rows)
+    if wanted & {"day", "month", "year"}:
+        rows = time_parts_full(rows)
+    written = {}
+    for name, frame in chain_from_config(rows, config, order).items():
+        path = f"{config['output_path']}/{name}"
+        frame.write.mode("overwrite").parquet(path)
+        written[name] = spark.read.parquet(path)
+    return written
