@@ -80,6 +80,8 @@ def shingled(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(document number, fingerprint) of the distinct shingles, by document. Words split at ASCII white space, A-Z lower-cased."""
     import xxhash
 
+    # Taken anew: Arrow splits slices that do not start at their buffer's first text wrongly.
+    texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     lists = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(lists.offsets).astype(np.int64)
