@@ -27,15 +27,6 @@ READING_SCHEMA = T.StructType(
     ]
 )
 
-# Features of a windowed row, in order.
-INPUT_FEATURES = [
-    "latitude", "longitude", "hour", "day_of_year", "co", "humid", "nox", "pm25", "so2", "solar",
-    "temp", "wind_x_dir", "wind_y_dir", "windspd", "dew", "o3",
-]
-# Sequence features (slope, first value, deviation) start at this feature.
-ENRICH_FROM = "temp"
-TARGETS = ["o3"]
-
 # Sampling constants (5-minute readings, hourly blocks, weekly sequences).
 READING_SECONDS = 300
 BLOCK_ROWS = 12
@@ -47,10 +38,3 @@ MAX_NULL_SHARE = 0.25
 FLAG_BEFORE_2014 = "VAL"
 FLAG_FROM_2014 = "K"
 FLAG_CHANGE_YEAR = 2014
-
-# The 19 sites of the Houston region.
-HOUSTON_SITES = [
-    "48_201_0024", "48_201_0051", "48_201_0057", "48_201_0069", "48_201_0307", "48_201_0551", "48_201_0558",
-    "48_201_0572", "48_201_0669", "48_201_0670", "48_201_0671", "48_201_0673", "48_201_0695", "48_201_0803",
-    "48_201_1034", "48_201_1035", "48_201_1049", "48_201_1052", "48_201_6000",
-]
