@@ -146,7 +146,7 @@ def scored_instances(mentions: DataFrame, support: int = SUPPORT, accept: float
     seeds = staged(known.where("value != ''").groupBy("pattern", "value", "kind").agg(F.lit(1.0).alias("weight")), "pii-seeds")
     edges = staged(new.where("value != ''").distinct(), "pii-edges")
     shapes = F.filter(F.array(*[F.when(_shape(k, F.col("value")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
-    accepted = mentions.sparkSession.createDataFrame([], "value string, kind string, weight double")
+    accepted = edges.where(F.lit(False)).select("value", F.lit("").alias("kind"), F.lit(0.0).alias("weight"))
     for _ in range(rounds):
         learnt = edges.join(accepted, "value").select("pattern", "value", "kind", "weight")
         # An unseen token counts against a pattern until it is accepted.
