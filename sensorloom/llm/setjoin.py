@@ -10,11 +10,13 @@ deletions is chosen for each scheme by its cost on a sample: index rows and
 expected candidates. That choice and the sample change the work, never the result.
 
 Copies are one class from the start. Among the classes under one key, the most
-central one is the lead, and the others are verified against it. What this leaves
-in different components is verified in blocks within the group of a lead; the
-distances to the lead rule out most blocks (Jaccard distance is a metric), and
-blocks of one component are skipped. So no pairs of a group are listed, and still
-every candidate pair is decided. Verification compares the shingles themselves.
+central one is the lead, and the others are compared with it. What this leaves in
+different components is compared in blocks within the group of a lead; blocks of one
+component are skipped. So no pairs of a group are listed, and still every candidate
+pair is decided. First parity maps are compared: each shingle flips one bit of its
+set's map, so maps differ in no more bits than the sets in shingles, and a pair whose
+maps differ in more than the gap of its sizes is no link. Only what passes is
+verified, on the shingles of the texts themselves.
 """
 
 from __future__ import annotations
@@ -123,6 +125,34 @@ def _classes(doc: np.ndarray, prints: np.ndarray, rows: int) -> tuple[np.ndarray
         return size, _mix(one ^ (_mix(two, 13) + size.astype(np.uint64)), 14).view(np.int64)
 
 
+def parity_maps(doc: np.ndarray, prints: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A bit map for each set: as many bits as the next power of two from its size on (64 at least), flipped by each shingle."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    place = base[doc] + (_mix(prints, 31) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    flipped = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(flipped, bitorder="little").tobytes()
+    return [packed[b // 8 : (b + n) // 8] for b, n in zip(base.tolist(), bits.tolist(), strict=True)]
+
+
+def _folded(bits: bytes, width: int) -> int:
+    """The map in ``width`` bits: as if its shingles had been put into so many."""
+    value, n = int.from_bytes(bits, "little"), 8 * len(bits)
+    while n > width:
+        n //= 2
+        value = (value >> n) ^ (value & ((1 << n) - 1))
+    return value
+
+
+def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool:
+    """False only if the sets differ in too many shingles for a link."""
+    low, high = min(size_a, size_b), max(size_a, size_b)
+    if 100 * low < percent * high:
+        return False
+    width = 8 * min(len(a), len(b))
+    return (_folded(a, width) ^ _folded(b, width)).bit_count() <= (100 - percent) * (low + high) // (100 + percent)
+
+
 def _keys(doc, prints, size, edges, segments, deleting) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(scheme, document, key) of all index entries: each set under its own band's scheme and the one below."""
     band = np.searchsorted(edges, size, "right") - 1
@@ -154,14 +184,18 @@ def _parts(batches: Iterator[pa.RecordBatch]):
 
 
 def set_ids(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, n_shingles, cid: the class of documents with the same set."""
+    """doc_id, n_shingles, cid (the class of documents with the same set), bits (its parity map)."""
 
     def ids(batches):
         for part in _parts(batches):
-            size, cid = _classes(*shingled(part.column("text"), rules.k), part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, pa.int64())], names=["doc_id", "n_shingles", "cid"])
+            doc, prints = shingled(part.column("text"), rules.k)
+            size, cid = _classes(doc, prints, part.num_rows)
+            maps = parity_maps(doc, prints, size)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "cid", "bits"]
+            )
 
-    return docs.mapInArrow(ids, "doc_id long, n_shingles long, cid long")
+    return docs.mapInArrow(ids, "doc_id long, n_shingles long, cid long, bits binary")
 
 
 def index_rows(docs: DataFrame, rules: Rules, edges: np.ndarray, segments: np.ndarray, deleting: np.ndarray) -> DataFrame:
@@ -224,32 +258,44 @@ def _shingle_set(text: str, k: int) -> frozenset:
     return frozenset(zip(*(w[j:] for j in range(k)), strict=False)) if len(w) >= k else frozenset([tuple(w)])
 
 
-def _verified(pairs: DataFrame, k: int) -> DataFrame:
-    """(lead, cid, both, either) from rows with the texts of both."""
+def _passing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (lead, cid) that sizes and parity maps do not rule out. Thin rows."""
+    own = classes.select("cid", F.col("n_shingles").alias("n"), "bits")
+    other = classes.select(F.col("cid").alias("lead"), F.col("n_shingles").alias("lead_n"), F.col("bits").alias("lead_bits"))
+
+    def passing(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bits", "lead_bits", "n", "lead_n")]
+            keep = pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
+            yield batch.select(["lead", "cid"]).filter(keep)
+
+    sized_pairs = pairs.join(own, "cid").join(other, "lead").where(100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+    return sized_pairs.mapInArrow(passing, "lead long, cid long")
+
+
+def _verified(pairs: DataFrame, rules: Rules) -> DataFrame:
+    """Links (a, b) among rows with the texts of both."""
 
     def verify(batches):
         held: OrderedDict[int, frozenset] = OrderedDict()
 
         def of(cid: int, text: str) -> frozenset:
             if cid not in held:
-                held[cid] = _shingle_set(text, k)
+                held[cid] = _shingle_set(text, rules.k)
                 if len(held) > 50:
                     held.popitem(last=False)
             return held[cid]
 
         for batch in batches:
             lead, cid = batch.column("lead").to_pylist(), batch.column("cid").to_pylist()
-            both, either = [], []
+            linked = []
             for i, (a, b) in enumerate(zip(lead, cid, strict=True)):
-                x, y = of(a, batch.column("lead_text")[i].as_py()), _shingle_set(batch.column("text")[i].as_py(), k)
-                n = len(x & y)
-                both.append(n)
-                either.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lead"), batch.column("cid"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["lead", "cid", "both", "either"]
-            )
+                x, y = of(a, batch.column("lead_text")[i].as_py()), _shingle_set(batch.column("text")[i].as_py(), rules.k)
+                both = len(x & y)
+                linked.append(rules.linked(both, len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("cid")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return pairs.mapInArrow(verify, "lead long, cid long, both long, either long")
+    return pairs.mapInArrow(verify, "a long, b long")
 
 
 def block_links(rows: pa.Table, k: int, percent: int) -> list[tuple[int, int]]:
@@ -291,34 +337,70 @@ def block_links(rows: pa.Table, k: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _within_leads(tested: DataFrame, labels: DataFrame, texts: DataFrame, sizes: DataFrame, rules: Rules) -> DataFrame:
+def survivors(rows: pa.Table, percent: int) -> pa.Table:
+    """The rows (side, label, bits, n_shingles) of two blocks that may be linked with a row of another label across (or within one block)."""
+    labels, sides = rows.column("label").to_pylist(), rows.column("side").to_pylist()
+    bits, sizes = rows.column("bits").to_pylist(), rows.column("n_shingles").to_pylist()
+    two = 1 in sides
+    folds: dict[tuple[int, int], int] = {}
+
+    def fold(i: int, width: int) -> int:
+        if (i, width) not in folds:
+            folds[i, width] = _folded(bits[i], width)
+        return folds[i, width]
+
+    keep = [False] * len(sizes)
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            if percent * sizes[j] > 100 * sizes[i]:
+                break
+            if (keep[i] and keep[j]) or labels[i] == labels[j] or (two and sides[i] == sides[j]):
+                continue
+            width = 8 * len(bits[i])
+            if (fold(i, width) ^ fold(j, width)).bit_count() <= (100 - percent) * (sizes[i] + sizes[j]) // (100 + percent):
+                keep[i] = keep[j] = True
+    return rows.filter(pa.array(keep, pa.bool_()))
+
+
+def _within_leads(pairs: DataFrame, labels: DataFrame, classes: DataFrame, fetch, rules: Rules) -> DataFrame:
     """Links between members of one lead's group that are still in different components."""
+    own = labels.select(F.col("node").alias("cid"), "label")
+    leads = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
     members = (
-        tested.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        .join(sizes, "cid").withColumn("bin", F.floor(50 * (1 - F.col("both") / F.col("either"))).cast("int"))
-        .select("lead", "cid", "label", "bin", "n_shingles")
+        pairs.join(own, "cid", "left").withColumn("label", F.coalesce("label", "cid")).join(leads, "lead", "left")
+        .withColumn("bin", (~F.col("label").eqNullSafe(F.col("lead_label"))).cast("int")).select("lead", "cid", "label", "bin")
     )
     groups = members.groupBy("lead").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("lead")
-    members = staged(members.join(groups, "lead", "left_semi"), "members")
+    members = staged(members.join(groups, "lead", "left_semi").join(classes.select("cid", "n_shingles"), "cid"), "members")
     bins = members.groupBy("lead", "bin").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("_many"))
     dealt = staged(members.join(bins, ["lead", "bin"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("_many")).cast("int")).drop("_many"), "blocks")
-    blocks = dealt.groupBy("lead", "bin", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    near = (100 - rules.percent) // 2 + 1
+    blocks = dealt.groupBy("lead", "bin", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     a, b = (blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns]) for s in "ab")
-    # Pairs of blocks, a few hundred sets each, of one lead and with distances to it that allow a link.
-    paired = a.join(b, (F.col("lead_a") == F.col("lead_b")) & (F.struct("bin_a", "part_a") <= F.struct("bin_b", "part_b")) & (F.col("bin_b") - F.col("bin_a") <= near)).where(
-        (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")) & ((F.col("n_a") > 1) | (F.struct("bin_a", "part_a") < F.struct("bin_b", "part_b")))
-    )
+    # Pairs of blocks, a few hundred sets each; members in the lead's own component are one label.
+    first = F.struct(F.col("bin_a").alias("b"), F.col("part_a").alias("p"))
+    second = F.struct(F.col("bin_b").alias("b"), F.col("part_b").alias("p"))
+    paired = a.join(b, (F.col("lead_a") == F.col("lead_b")) & (first <= second)).where(F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b"))
     paired = staged(paired.select(F.col("lead_a").alias("lead"), "bin_a", "part_a", "bin_b", "part_b"), "block-pairs")
+    key = ["lead", "bin_a", "part_a", "bin_b", "part_b"]
     left = paired.select("*", F.col("bin_a").alias("bin"), F.col("part_a").alias("part"), F.lit(0).alias("side"))
     right = paired.where((F.col("bin_a") != F.col("bin_b")) | (F.col("part_a") != F.col("part_b"))).select("*", F.col("bin_b").alias("bin"), F.col("part_b").alias("part"), F.lit(1).alias("side"))
-    rows = left.unionByName(right).join(dealt, ["lead", "bin", "part"]).join(texts, "cid").select("lead", "bin_a", "part_a", "bin_b", "part_b", "side", "label", "text")
+    rows = left.unionByName(right).join(dealt, ["lead", "bin", "part"]).join(classes.select("cid", "bits"), "cid")
+    rows = rows.select(*key, "side", "cid", "label", "bits", "n_shingles")
+    names = [*key, "side", "cid", "label"]
+
+    def sift(rows: pa.Table) -> pa.Table:
+        return survivors(rows, rules.percent).select(names)
+
+    kept = rows.groupBy(*key).applyInArrow(sift, "lead long, bin_a int, part_a int, bin_b int, part_b int, side int, cid long, label long")
+    kept = staged(kept, "survivors")
 
     def decide(rows: pa.Table) -> pa.Table:
         found = block_links(rows, rules.k, rules.percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("lead", "bin_a", "part_a", "bin_b", "part_b").applyInArrow(decide, "a long, b long")
+    texts = fetch(kept.select("cid"))
+    return kept.join(texts, "cid").select(*key, "side", "label", "text").groupBy(*key).applyInArrow(decide, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -351,11 +433,8 @@ def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     lead = shared.join(score, "cid").groupBy("key").agg(F.max_by("cid", F.struct("score", "cid")).alias("lead"))
     pairs = staged(shared.join(lead, "key").where("lead != cid").select("lead", "cid").distinct(), "candidates")
 
-    # Texts of one document of each class that is in a pair.
-    reps = ids.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
-    reps = staged(reps, "classes")
-    involved = pairs.select("cid").unionByName(pairs.select(F.col("lead").alias("cid"))).distinct()
-    wanted = sized(staged(reps.join(involved, "cid", "left_semi").select(F.col("cid").alias("want"), "rep"), "wanted"))
+    classes = ids.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    reps = staged(classes, "classes")
     k = rules.k
 
     def checked(batches):  # another text may have the same doc_id
@@ -363,14 +442,17 @@ def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             _, cid = _classes(*shingled(part.column("text"), k), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("want"), part.column("text")], names=["cid", "text"]).filter(pa.array(cid == np.asarray(part.column("want"))))
 
-    found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text").mapInArrow(checked, "cid long, text string")
-    texts = staged(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
-
-    with_texts = pairs.join(texts, "cid").join(texts.select(F.col("cid").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    tested = staged(_verified(with_texts, k), "tested")
-    links = tested.where(100 * F.col("both") >= rules.percent * F.col("either")).select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-    labels = staged(components(links), "labels")
-    more = staged(_within_leads(tested, labels, texts, reps.select("cid", "n_shingles"), rules), "more-links")
+    def fetch(cids: DataFrame) -> DataFrame:
+        """The text of one document of each class."""
+        wanted = reps.join(cids.distinct(), "cid", "left_semi").select(F.col("cid").alias("want"), "rep")
+        found = docs.join(sized(staged(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
+        return staged(found.mapInArrow(checked, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text")), "texts")
+
+    likely = staged(_passing(pairs, reps, rules.percent), "likely")
+    texts = fetch(likely.select("cid").unionByName(likely.select(F.col("lead").alias("cid"))))
+    with_texts = likely.join(texts, "cid").join(texts.select(F.col("cid").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    labels = staged(components(staged(_verified(with_texts, rules), "links")), "labels")
+    more = staged(_within_leads(pairs, labels, reps, fetch, rules), "more-links")
     joined = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
     labels = staged(components(joined), "labels")
 
