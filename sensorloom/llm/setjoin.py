@@ -8,6 +8,9 @@ one). If the tolerances and the number of segments add up to ``gap + 1``, linked
 sets agree in a segment (pigeonhole), so no link is lost. How many segments take
 deletions is chosen for each scheme by its cost on a sample: index rows and
 expected candidates. That choice and the sample change the work, never the result.
+A few segments more than needed are cut, so that linked sets agree in that many more:
+a set with no more empty segments than those leaves the empty ones out of the index,
+which many unrelated sets would share.
 
 Copies are one class from the start. Among the classes under one key, the most
 central one is the lead, and the others are compared with it. What this leaves in
@@ -153,8 +156,26 @@ def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool
     return (_folded(a, width) ^ _folded(b, width)).bit_count() <= (100 - percent) * (low + high) // (100 + percent)
 
 
-def _keys(doc, prints, size, edges, segments, deleting) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(scheme, document, key) of all index entries: each set under its own band's scheme and the one below."""
+def spare(edges: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Segments beyond those needed: about the most that stay empty in a band's smallest sets."""
+    out = np.zeros(len(gaps), np.int64)
+    for k, (n, gap) in enumerate(zip(edges[:-1].tolist(), gaps.tolist(), strict=True)):
+        while gap and out[k] < gap:
+            m = gap + 1 + out[k]
+            empty = m * np.exp(-n / m)
+            if out[k] >= empty + 2 * np.sqrt(empty):
+                break
+            out[k] += 1
+    return out
+
+
+def _keys(doc, prints, size, edges, segments, deleting, slack=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(scheme, document, key) of all index entries: each set under its own band's scheme and the one below.
+
+    ``slack``: segments of a scheme beyond those needed. Empty segments without
+    deletions are left out where a set has no more of them than that.
+    """
+    slack = np.zeros(len(segments), np.int64) if slack is None else slack
     band = np.searchsorted(edges, size, "right") - 1
     for down in (0, 1):
         scheme = band - down
@@ -170,7 +191,10 @@ def _keys(doc, prints, size, edges, segments, deleting) -> Iterator[tuple[np.nda
             owner = np.repeat(np.arange(len(size)), m)
             number = np.arange(len(sums)) - base[owner]
             tag = _mix((scheme[owner] * 1_000_003 + number).astype(np.uint64), 23)
-            yield scheme[owner], owner, _mix(sums ^ tag, 24).view(np.int64)
+            empty = (np.bincount(base[d] + segment, minlength=len(sums)) == 0) & (number >= deleting[scheme[owner]])
+            few = np.bincount(owner[empty], minlength=len(size)) <= slack[np.maximum(scheme, 0)]
+            kept = ~(empty & few[owner])
+            yield scheme[owner[kept]], owner[kept], _mix(sums ^ tag, 24).view(np.int64)[kept]
             gone = segment < deleting[scheme[d]]
             if gone.any():
                 d, p, at = d[gone], p[gone], (base[d] + segment)[gone]
@@ -200,6 +224,7 @@ def set_ids(docs: DataFrame, rules: Rules) -> DataFrame:
 
 def index_rows(docs: DataFrame, rules: Rules, edges: np.ndarray, segments: np.ndarray, deleting: np.ndarray) -> DataFrame:
     """(key, cid) of every set; copies within a batch give one."""
+    slack = segments + deleting - rules.gaps(edges) - 1
 
     def keys(batches):
         for part in _parts(batches):
@@ -208,7 +233,7 @@ def index_rows(docs: DataFrame, rules: Rules, edges: np.ndarray, segments: np.nd
             first = np.zeros(part.num_rows, bool)
             first[np.unique(cid, return_index=True)[1]] = True
             mine = first[doc]
-            for _, owner, key in _keys(doc[mine], prints[mine], np.where(first, size, 0), edges, segments, deleting):
+            for _, owner, key in _keys(doc[mine], prints[mine], np.where(first, size, 0), edges, segments, deleting, slack):
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(cid[owner], pa.int64())], names=["key", "cid"])
 
     return docs.mapInArrow(keys, "key long, cid long")
@@ -223,18 +248,19 @@ def _sample(docs: DataFrame, rows: int, total: int) -> DataFrame:
 def allocate(docs: DataFrame, rules: Rules, edges: np.ndarray, total: int, sample: int = COST_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Segments of each scheme, and how many of them take one-deletions, at the least cost on the sample."""
     gaps = rules.gaps(edges)
+    slack = spare(edges, gaps)
     options = [0, 1, 2, 4, 8, 16]
 
     def shapes(q: int) -> tuple[np.ndarray, np.ndarray]:
         deleting = np.minimum(q, (gaps + 1) // 2)
-        return gaps + 1 - deleting, deleting
+        return gaps + 1 + slack - deleting, deleting
 
     def rows(batches):
         for part in _parts(batches):
             doc, prints = shingled(part.column("text"), rules.k)
             size, cid = _classes(doc, prints, part.num_rows)
             for q in options:
-                for scheme, owner, key in _keys(doc, prints, size, edges, *shapes(q)):
+                for scheme, owner, key in _keys(doc, prints, size, edges, *shapes(q), slack):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(key), q), pa.int32()), pa.array(scheme, pa.int32()), pa.array(key, pa.int64()), pa.array(cid[owner], pa.int64())],
                         names=["q", "scheme", "key", "cid"],
@@ -248,7 +274,7 @@ def allocate(docs: DataFrame, rules: Rules, edges: np.ndarray, total: int, sampl
         cost = float(r["rows"]) * up + PAIR_COST * float(r["pairs"]) * up * up
         best[r["scheme"]] = min(best.get(r["scheme"], (float("inf"), 0)), (cost, r["q"]))
     deleting = np.minimum(np.array([best.get(k, (0, 0))[1] for k in range(len(gaps))], np.int64), (gaps + 1) // 2)
-    return gaps + 1 - deleting, deleting
+    return gaps + 1 + slack - deleting, deleting
 
 
 def _shingle_set(text: str, k: int) -> frozenset:

@@ -72,8 +72,8 @@ def test_blocks_of_a_hot_group(docs, monkeypatch):
     assert sorted(tuple(r) for r in rows) == plain(texts, 3, 90)
 
 
-@pytest.mark.parametrize("deletions", [0, 1, 100])
-def test_no_linked_pair_is_missed_by_the_index(deletions):
+@pytest.mark.parametrize(("deletions", "more"), [(0, 0), (1, 0), (100, 0), (0, 1), (0, 3), (1, 2), (100, 4), (0, None), (2, None)])
+def test_no_linked_pair_is_missed_by_the_index(deletions, more):
     rules = Rules(3, 80)
     texts = [t for t in near_copies(5) if t and t.strip()]
     doc, prints = setjoin.shingled(pa.array(texts), 3)
@@ -81,8 +81,9 @@ def test_no_linked_pair_is_missed_by_the_index(deletions):
     edges = rules.edges(int(size.max()))
     gaps = rules.gaps(edges)
     deleting = np.minimum(deletions, (gaps + 1) // 2)
+    slack = setjoin.spare(edges, gaps) if more is None else np.full_like(gaps, more)
     keys = [set() for _ in texts]
-    for _, owner, key in setjoin._keys(doc, prints, size, edges, gaps + 1 - deleting, deleting):
+    for _, owner, key in setjoin._keys(doc, prints, size, edges, gaps + 1 + slack - deleting, deleting, slack):
         for o, x in zip(owner.tolist(), key.tolist(), strict=True):
             keys[o].add(x)
     sets = shingle_sets(texts, 3)
@@ -94,6 +95,29 @@ def test_no_linked_pair_is_missed_by_the_index(deletions):
             assert (cid[i] == cid[j]) == (sets[i] == sets[j])
 
 
+def test_parity_maps_rule_out_no_link():
+    texts = [t for t in near_copies(7) if t and t.strip()]
+    doc, prints = setjoin.shingled(pa.array(texts), 3)
+    size, _ = setjoin._classes(doc, prints, len(texts))
+    maps, sets, ruled_out = setjoin.parity_maps(doc, prints, size), shingle_sets(texts, 3), 0
+    for percent in (60, 90):
+        for i in range(len(texts)):
+            for j in range(i):
+                passed = setjoin.may_link(maps[i], maps[j], int(size[i]), int(size[j]), percent)
+                ruled_out += not passed
+                assert passed or 100 * len(sets[i] & sets[j]) < percent * len(sets[i] | sets[j])
+    assert ruled_out > len(texts) ** 2 // 2
+
+
+def test_slices_of_a_batch():
+    texts = pa.array([t for t in near_copies(6)])
+    for lo in (0, 1, 17):
+        got, want = setjoin.shingled(texts.slice(lo, 40), 3), setjoin.shingled(pa.array(texts.slice(lo, 40).to_pylist()), 3)
+        assert got[0].tolist() == want[0].tolist()
+        assert got[1].tolist() == want[1].tolist()
+        assert np.bincount(got[0], minlength=40).tolist() == [len(s) for s in shingle_sets(texts.slice(lo, 40).to_pylist(), 3)]
+
+
 def test_ids_that_are_null_or_repeat(docs):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = setjoin.jaccard_components(docs([(5, a), (3, a + " x"), (5, b), (None, b), (2, b), (9, None)]), Rules(3, 90)).collect()
