@@ -3,9 +3,11 @@
 Both vocabularies split a text before they merge, and never across a space that
 follows a character which is no white space. So a text is cut there, the chunks
 of a batch are reduced to distinct ones (Arrow's hash table, exact), those go
-through the whole tokenizer, and the ids are put together again. Where cutting
-could change the ids (two spaces in a row, rare separators) other cuts or none
-are made; ``tests/llm/test_tokens.py`` compares with plain encoding.
+through the tokenizer, and the ids are put together again. A chunk of Latin
+letters and marks behind them is a word and its marks to both vocabularies; its
+word goes to the tokenizer's model directly, once for all chunks that share it.
+Where cutting could change the ids (a space beside other white space, rare separators) other
+cuts or none are made; ``tests/llm/test_tokens.py`` compares with plain encoding.
 """
 
 from __future__ import annotations
@@ -18,35 +20,56 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept between batches of one worker; beyond it the store starts anew.
-STORE_CHUNKS = 300_000
+#: Pieces (words, marks, other chunks) kept between batches of one worker; beyond it the store starts anew.
+STORE_PIECES = 500_000
 _SLICE = 20_000
 _RUNS = re.compile(r"\s*\S+|\s+\Z")
 _ODD = re.compile(r"[\x1c-\x1f\x85]")
+#: A space beside other white space (RE2).
+_BESIDE = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+#: A word and the marks behind it; no apostrophe, which may begin a suffix.
+_SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
-        # Does a space belong to the token after it, or is it dropped?
+        # Does a space belong to the token after it, or is it dropped? Does case matter?
         self.leads = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
+        self.lower = bool(self.tokenizer.normalizer) and self.tokenizer.normalizer.normalize_str("A") == "a"
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, [32, *range(65, 91), *range(97, 123), *range(192, 256)])}
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {"": 0}  # nothing has no ids
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for lo in range(0, len(chunks), _SLICE):
-            part = chunks[lo : lo + _SLICE]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+    def _coded(self, pieces: list[str]) -> list[list[int]]:
+        """Words by the model itself, other pieces by the whole tokenizer."""
+        tokenize, letters, out = self.tokenizer.model.tokenize, self.letters, []
+        others = []
+        for k, piece in enumerate(pieces):
+            if piece[-1].isalpha() and _SIMPLE.fullmatch(piece):
+                out.append([t.id for t in tokenize(piece.translate(letters))])
+            else:
+                out.append([])
+                others.append(k)
+        for k, e in zip(others, self.tokenizer.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), _SLICE):
+            part = pieces[lo : lo + _SLICE]
+            coded = self._coded(part)
             lengths = np.fromiter(map(len, coded), np.int64, len(coded))
             n, k, total = len(self.at), len(coded), int(lengths.sum())
             while self.used + total > len(self.pool):
@@ -61,19 +84,29 @@ class ChunkEncoder:
             self.at.update(zip(part, range(n, n + k), strict=True))
 
     def _places(self, chunks: list[str]) -> np.ndarray:
-        """Where the ids of distinct chunks are."""
-        new = [c for c in chunks if c not in self.at]
-        if new and len(self.at) + len(new) > STORE_CHUNKS:
+        """Where the ids of distinct chunks are: of the word (or whole chunk), and of the marks behind it."""
+        pieces = []
+        for chunk in chunks:
+            found = _SIMPLE.fullmatch(chunk)
+            if found:
+                word, marks = found.groups()
+                pieces += (word.lower() if self.lower else word, marks)
+            else:
+                pieces += (chunk, "")
+        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
+        if new and len(self.at) + len(new) > STORE_PIECES:
             self._clear()
-            new = chunks
+            new = [p for p in dict.fromkeys(pieces) if p]
         self._learn(new)
-        return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces)).reshape(-1, 2)
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and how many each has."""
+        places = places.reshape(-1)
         lengths = self.length[places]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.start[places] - ends + lengths, lengths) + np.arange(total)], lengths
+        return self.pool[np.repeat(self.start[places] - ends + lengths, lengths) + np.arange(total)], lengths.reshape(-1, 2).sum(1)
 
     def _single(self, text: str) -> np.ndarray:
         """A text in which a single space is no safe place to cut."""
@@ -82,17 +115,18 @@ class ChunkEncoder:
         chunks = _RUNS.findall(text)
         distinct = list(dict.fromkeys(chunks))
         of = dict(zip(distinct, self._places(distinct), strict=True))
-        return self._gather(np.fromiter((of[c] for c in chunks), np.int64, len(chunks)))[0]
+        return self._gather(np.array([of[c] for c in chunks], np.int64))[0]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: of none)."""
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # Taken anew: Arrow treats slices that do not start at their buffer's first text wrongly.
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = np.arange(len(texts))
         if self.leads:
-            twice = np.asarray(pc.match_substring(texts, "  "))
+            twice = np.asarray(pc.match_substring_regex(texts, _BESIDE))
             for i in np.flatnonzero(twice):
                 out[i] = self._single(texts[int(i)].as_py())
             plain = plain[~twice]
@@ -108,7 +142,7 @@ class ChunkEncoder:
         seen = np.flatnonzero(np.bincount(codes, minlength=size))
         names = coded.dictionary.to_pylist()
         lead = " " if self.leads else ""
-        place = np.zeros(size, np.int64)
+        place = np.zeros((size, 2), np.int64)
         place[seen] = self._places([lead * (k & 1) + names[k >> 1] for k in seen.tolist()])
         ids, lengths = self._gather(place[codes])
         ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
