@@ -52,7 +52,7 @@ def ids_of(planes: list[np.ndarray], n: int, mode: str) -> np.ndarray:
 def write_store(docs: DataFrame, folder: str, path: str, end: int, mode: str = "byte", block_ids: int = 8192, chunk_ids: int = 1 << 18, level: int = 3) -> None:
     """Encode whole texts (null: empty) and write them in ascending doc_id order (null first).
 
-    Repeated doc_ids are kept, ordered by their text. Other columns are not stored.
+    Repeated doc_ids are kept, ordered by a hash of their text. Other columns are not stored.
     """
     if mode not in ("byte", "bit"):
         raise ValueError("mode is 'byte' or 'bit'")
@@ -86,7 +86,8 @@ def write_store(docs: DataFrame, folder: str, path: str, end: int, mode: str = "
         if held:
             yield closed()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    # The range bounds are sampled to the driver, so the texts themselves are no part of the order.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = thin(docs, doc_id=F.col("doc_id").cast("long"), text=whole())
     rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(chunks, CHUNKS).write.option("compression", "uncompressed").parquet(f"{folder}/chunks")
     spark = docs.sparkSession
