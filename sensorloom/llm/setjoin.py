@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.base import query, sized, table, thin, whole
@@ -208,7 +208,8 @@ def _parts(batches: Iterator[pa.RecordBatch]):
 
 
 def set_ids(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, n_shingles, cid (the class of documents with the same set), bits (its parity map)."""
+    """The columns of ``docs`` but ``text``, and n_shingles, cid (the class of documents with the same set), bits (its parity map)."""
+    own = [c for c in docs.columns if c != "text"]
 
     def ids(batches):
         for part in _parts(batches):
@@ -216,10 +217,10 @@ def set_ids(docs: DataFrame, rules: Rules) -> DataFrame:
             size, cid = _classes(doc, prints, part.num_rows)
             maps = parity_maps(doc, prints, size)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "n_shingles", "cid", "bits"]
+                [*map(part.column, own), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(maps, pa.binary())], names=[*own, "n_shingles", "cid", "bits"]
             )
 
-    return docs.mapInArrow(ids, "doc_id long, n_shingles long, cid long, bits binary")
+    return docs.mapInArrow(ids, "".join(f"{c} long, " for c in own) + "n_shingles long, cid long, bits binary")
 
 
 def index_rows(docs: DataFrame, rules: Rules, edges: np.ndarray, segments: np.ndarray, deleting: np.ndarray) -> DataFrame:
@@ -429,14 +430,14 @@ def _within_leads(pairs: DataFrame, labels: DataFrame, classes: DataFrame, fetch
     return kept.join(texts, "cid").select(*key, "side", "label", "text").groupBy(*key).applyInArrow(decide, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
+def _version() -> Column:
+    """A hash of the text: a doc_id may be null or have several texts."""
+    return F.xxhash64(whole(), F.lit(3))
 
-    Null, empty and blank texts have an empty set and are linked with nothing.
-    Rows that repeat are copies. Rows without doc_id link like any other; their
-    component is the smallest id that is not null, or null. Other columns are ignored.
-    """
-    docs = thin(docs, doc_id=F.col("doc_id").cast("long"), text=whole())
+
+def _grouped(docs: DataFrame, rules: Rules) -> DataFrame:
+    """doc_id, version, n_shingles, and ``_least``: the first (no id, doc_id, version) reachable by links, rows without id last."""
+    docs = thin(docs, doc_id=F.col("doc_id").cast("long"), version=_version(), text=whole())
     ids = staged(set_ids(docs, rules), "set-ids")
     top = ids.agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("most")).first()
     edges = rules.edges(int(top["most"] or 1))
@@ -459,19 +460,20 @@ def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     lead = shared.join(score, "cid").groupBy("key").agg(F.max_by("cid", F.struct("score", "cid")).alias("lead"))
     pairs = staged(shared.join(lead, "key").where("lead != cid").select("lead", "cid").distinct(), "candidates")
 
-    classes = ids.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    classes = ids.groupBy("cid").agg(F.min(rep).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     reps = staged(classes, "classes")
     k = rules.k
 
-    def checked(batches):  # another text may have the same doc_id
+    def checked(batches):  # another text may have the same hash
         for part in _parts(batches):
             _, cid = _classes(*shingled(part.column("text"), k), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("want"), part.column("text")], names=["cid", "text"]).filter(pa.array(cid == np.asarray(part.column("want"))))
 
     def fetch(cids: DataFrame) -> DataFrame:
         """The text of one document of each class."""
-        wanted = reps.join(cids.distinct(), "cid", "left_semi").select(F.col("cid").alias("want"), "rep")
-        found = docs.join(sized(staged(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
+        wanted = reps.join(cids.distinct(), "cid", "left_semi").select(F.col("cid").alias("want"), F.col("rep.doc_id").alias("_id"), F.col("rep.version").alias("_v"))
+        found = docs.join(sized(staged(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_v"))).select("want", "text")
         return staged(found.mapInArrow(checked, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
     likely = staged(_passing(pairs, reps, rules.percent), "likely")
@@ -483,17 +485,40 @@ def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     labels = staged(components(joined), "labels")
 
     whole_classes = reps.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = whole_classes.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = whole_classes.join(least, "label").select(F.col("cid").alias("_cid"), "component_id")
-    out = ids.join(named, F.col("cid") == F.col("_cid"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = whole_classes.groupBy("label").agg(F.min("rep").alias("_least"))
+    named = whole_classes.join(least, "label").select(F.col("cid").alias("_cid"), "_least")
+    return ids.join(named, F.col("cid") == F.col("_cid")).select("doc_id", "version", "n_shingles", "_least")
+
+
+def jaccard_components(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
+
+    Null, empty and blank texts have an empty set and are linked with nothing.
+    Rows that repeat are copies. Rows without doc_id link like any other; their
+    component is the smallest id that is not null, or null. Other columns are ignored.
+    """
+    out = _grouped(docs, rules)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_least.doc_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, rules: Rules = Rules(5, 80)) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group; rows without doc_id stay if no other row is linked."""
-    found = jaccard_components(docs, rules)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(sized(staged(gone, "gone")), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of ``docs`` of each group: the smallest doc_id, for equal ids the smallest text hash; rows without doc_id come last.
+
+    A row is judged by its doc_id and text, so other texts of the same id, or
+    without one, are not touched. Of rows that repeat one stays (any, if they
+    differ in other columns). Texts without words are in no group and all stay.
+    """
+    found = _grouped(docs, rules).where("n_shingles > 0").groupBy("doc_id", "version").agg(F.first("_least").alias("_least"), F.count(F.lit(1)).alias("n"))
+    own = F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("version") == F.col("_least.version"))
+    marked = staged(found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), own.alias("_first"), "n").where("NOT _first OR n > 1"), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_version() == F.col("_v"))
+    kept = docs.join(sized(marked), same, "left_anti")
+    again = marked.where("_first")
+    if again.isEmpty():
+        return kept
+    # Combined map-side: a row that repeats often is no hot key.
+    repeated = docs.join(sized(again), same, "left_semi").withColumn("_version", _version())
+    return kept.unionByName(repeated.withColumn("_id", F.col("doc_id").cast("long")).dropDuplicates(["_id", "_version"]).drop("_id", "_version"))
 
 
 #: Every pair of documents with a common shingle, then the closure of their links.

@@ -134,6 +134,20 @@ def test_one_of_each_group(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5]
 
 
+def test_one_of_each_group_goes_by_text_where_ids_are_null_or_repeat(docs):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [
+        (1, a), (None, a + " more"), (None, b), (None, c), (None, c + " more"), (None, c),  # a null id beside a copy of a text with one, alone, and copies without any
+        (2, a), (2, d),  # one text of an id is linked to a smaller one, the other is not
+        (3, e), (3, e), (3, e + " more"), (None, None), (None, ""), (3, ""), (3, ""),
+    ]
+    kept = setjoin.one_of_each_group(docs(rows, "extra"))
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()), key=str)
+    of_c, of_e = [t for i, t in got if t.startswith("c0 ")], [t for i, t in got if t.startswith("e0 ")]
+    assert len(of_c) == len(of_e) == 1
+    assert got == sorted([(1, a), (0, b), (0, of_c[0]), (2, d), (3, of_e[0]), (0, ""), (0, ""), (3, ""), (3, "")], key=str)
+
+
 def test_components_of_a_graph(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
