@@ -6,6 +6,10 @@ normalised and mapped to identifiers of known licence sentences. The identifiers
 in order, are matched against ordered rules; a rule that matches names its licence
 and takes its identifiers away, so that a later rule for a part does not match them
 again. What has a licence word but no identifier counts as unknown.
+
+Notices whose sentences go on behind a semicolon or "v." have a third reading that
+does not cut there. The SQL has the first two readings, of sentences with a licence
+word; where a text needs more, the operator finds more.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from sensorloom.llm.base import query, table, whole
 #: Words without which nothing is looked at.
 CRITICAL = r"(?i)licen[cs]e|copyright|warrant|redistribut|spdx|rights reserved|public domain|permission (is hereby granted|to use)"
 
+#: Every known sentence has one of these or a word of licences.
+POSSIBLE = CRITICAL + r"|neither|gnu|cc0|commons|permission|reserved|domain"
+
 # Identifiers of licence sentences and patterns of the whole normalised sentence
 # (lower case, marks other than . + - as blanks, blanks single, no marks at the ends).
 SENTENCES: tuple[tuple[str, str], ...] = (
@@ -113,6 +120,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _CUTS = {"lines": r"\n|[.;!?](?=[\x20\x09-\x0D]|$)", "joined": r"\n[\x20\x09]*\n|[.;!?](?=[\x20\x09-\x0D]|$)"}
+_NOTICES = r"\n[\x20\x09]*\n|\n(?=[^A-Za-z\n]*(?i:this (?:program|library|source code form) is ))|[.!?](?=[\x20\x09-\x0D]|$)(?!(?<=\b[vV][.])[\x20\x09-\x0D]+[0-9])"
+#: Sentences that only the third reading can have whole begin the rules it is asked for.
+_NOTICE_IDS = ("GPLfree2", "GPLfree3", "LGPLfree", "MPL2")
 
 
 def _normal(x: Column) -> Column:
@@ -138,11 +148,14 @@ def licences(docs: DataFrame) -> DataFrame:
     empty texts have none. Repeated rows are each reported. Other columns are ignored.
     """
     rows = docs.select("doc_id", whole().alias("_l_text")).where(F.col("_l_text").rlike(CRITICAL))
-    for name, cut in _CUTS.items():
-        parts = F.filter(F.split("_l_text", cut), lambda x: x.rlike(CRITICAL))
-        rows = rows.withColumn(f"_l_{name}", F.transform(F.transform(parts, _normal), _identifier))
-    rules = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(_tag(ids)).alias("ids")) for licence, ids in RULES])
-    for name in _CUTS:
+    for name, cut in (_CUTS | {"notices": _NOTICES}).items():
+        parts = F.filter(F.split("_l_text", cut), lambda x: x.rlike(POSSIBLE))
+        tagged = F.transform(parts, lambda x: F.struct(x.rlike(CRITICAL).alias("critical"), _identifier(_normal(x)).alias("id")))
+        tagged = F.filter(tagged, lambda x: x["critical"] | (x["id"] != "?"))
+        rows = rows.withColumn(f"_l_{name}", F.transform(tagged, lambda x: x["id"]))
+    for name in ("lines", "joined", "notices"):
+        mine = [(licence, ids) for licence, ids in RULES if name in _CUTS or ids[0] in _NOTICE_IDS]
+        rules = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(_tag(ids)).alias("ids")) for licence, ids in mine])
         known = F.filter(f"_l_{name}", lambda x: x != "?")
         start = F.struct(F.array_join(F.transform(known, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("left"), F.array().cast("array<string>").alias("found"))
         found = F.aggregate(
@@ -150,8 +163,12 @@ def licences(docs: DataFrame) -> DataFrame:
             lambda a, r: F.when(F.instr(a["left"], r["ids"]) > 0, F.struct(F.replace(a["left"], r["ids"], F.lit("|")).alias("left"), F.concat(a["found"], F.array(r["licence"])).alias("found"))).otherwise(a),
         )
         rows = rows.withColumn(f"_l_{name}_found", found["found"])
+    # A wrapped third clause is seen with lines joined only.
+    two, three = F.lit("BSD-2-Clause"), F.lit("BSD-3-Clause")
+    wrapped = F.array_contains("_l_joined_found", three) & ~F.array_contains("_l_joined_found", two)
+    rows = rows.withColumn("_l_lines_found", F.when(wrapped, F.array_remove("_l_lines_found", two)).otherwise(F.col("_l_lines_found")))
     out = rows.select(
-        "doc_id", F.array_sort(F.array_distinct(F.concat("_l_lines_found", "_l_joined_found"))).alias("licences"),
+        "doc_id", F.array_sort(F.array_distinct(F.concat("_l_lines_found", "_l_joined_found", "_l_notices_found"))).alias("licences"),
         F.filter("_l_lines", lambda x: x != "?").alias("sentences"),
         F.size(F.filter("_l_lines", lambda x: x == "?")).cast("long").alias("unknown"), F.size("_l_lines").alias("_l_n"), F.size("_l_joined").alias("_l_m"),
     )

@@ -43,3 +43,42 @@ def test_rules_use_known_sentences():
     names = [n for n, _ in licenses.SENTENCES]
     assert len(names) == len(set(names))
     assert {x for _, ids in licenses.RULES for x in ids} <= set(names)
+
+
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc."""
+BSD = """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation.
+{}
+This software is provided by the copyright holders and contributors "as is" and no warranty is given."""
+ENDORSE = """3. Neither the name of the University nor the names of its contributors
+may be used to endorse or promote products derived from this software.
+"""
+NOTICES = {
+    GPL.format(2): ["GPL-2.0"], "Copyright (C) 2001 A\n" + GPL.format(2): ["GPL-2.0"], "// " + GPL.format(3).replace("\n", "\n// "): ["GPL-3.0"],
+    GPL.format("2.1").replace("This program", "This library").replace("GNU General", "GNU Lesser General"): ["LGPL"],
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one.": ["MPL-2.0"],
+    BSD.format(ENDORSE): ["BSD-3-Clause"], BSD.replace("cation,\nare", "cation, are").format(ENDORSE): ["BSD-3-Clause"], BSD.format(""): ["BSD-2-Clause"],
+    "Licensed under the Apache License, Version 2.0; you may not use this\nfile except in compliance with the License.": ["Apache-2.0"],
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that it stays.": ["ISC"],
+}
+
+
+def test_standard_notices(docs):
+    got = {r["doc_id"]: r["licences"] for r in licenses.licences(docs(list(NOTICES))).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == list(NOTICES.values())
