@@ -31,7 +31,11 @@ from sensorloom.llm.base import query, table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noscript noembed noframes xmp title textarea svg math object canvas audio video".split())
+RAW = frozenset("script style iframe noembed noframes xmp title textarea".split())
+#: Not shown if they end; one without an end is an ordinary element.
+HIDDEN = frozenset("template noscript".split())
+#: Within these "/>" ends an element. Texts of drawings are no text of a page; a block or a picture ends an open one.
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -78,6 +82,8 @@ class Page:
 
 def parse(html: str) -> Page:
     page, stack, at, n = Page(), [0], 0, len(html)
+    drawing = foreign = 0  # places on the stack of an open svg, and of an open svg or math
+    no_end: set[str] = set()
     page.tag.append("#root")
     page.names.append("")
     page.parent.append(-1)
@@ -91,14 +97,19 @@ def parse(html: str) -> Page:
         return len(page.tag) - 1
 
     def words(text: str) -> None:
-        if text:
+        if text and not drawing:
             page.flow.append(node("#text", "", unescape(text)))
 
+    def cut(k: int) -> None:
+        nonlocal drawing, foreign
+        del stack[k:]
+        drawing, foreign = drawing if drawing < k else 0, foreign if foreign < k else 0
+
     def close(names, stop) -> None:
         for k in range(len(stack) - 1, 0, -1):
             tag = page.tag[stack[k]]
             if tag in names:
-                del stack[k:]
+                cut(k)
                 return
             if tag in stop:
                 return
@@ -117,6 +128,8 @@ def parse(html: str) -> Page:
         at = found.end()
         if found[1]:
             tag = found[1].lower()
+            if drawing and tag in BLOCK:
+                cut(drawing)
             if tag in BLOCK:
                 page.flow.append(-1)
             if tag == "p" or tag not in BLOCK:
@@ -127,20 +140,29 @@ def parse(html: str) -> Page:
         tag = (found[2] or found[4] or "").lower()
         if not tag:
             continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
-            at = n if end is None else (html.find(">", end.end()) + 1 or n)
+        raw = found[3] or found[5] or ""
+        if foreign and raw.endswith("/") and tag not in BLOCK:
             continue
+        if tag in RAW or (tag in HIDDEN and tag not in no_end):
+            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
+            if end or tag in RAW:
+                at = n if end is None else (html.find(">", end.end()) + 1 or n)
+                continue
+            no_end.add(tag)  # none from here on either
+        if drawing and (tag in BLOCK or tag in ("img", "br")):
+            cut(drawing)
         if tag in CLOSES_P:
             close({"p"}, SCOPE)
         if tag in ENDS:
             close(*ENDS[tag])
         if tag in BLOCK or tag == "br":
             page.flow.append(-1)
-        if tag in VOID:
+        if tag in VOID or (tag in FOREIGN and raw.endswith("/")):
             continue
-        raw = found[3] or found[5] or ""
         stack.append(node(tag, " ".join(a or b or c for a, b, c in _NAMES.findall(raw)).lower(), ""))
+        if tag in FOREIGN:
+            foreign = foreign or len(stack) - 1
+            drawing = drawing or (len(stack) - 1 if tag == "svg" else 0)
         if "data-main" in raw or "data-skip" in raw:
             page.marks[stack[-1]] = int("data-main" in raw)
     return page

@@ -69,3 +69,23 @@ def test_rows(spark):
     assert sorted(r["n_chars"] for r in rows) == [0, 0, 75, 75]
     assert {r["text"] for r in rows if r["page_id"] == 3} == {""}
     assert H.extract(df.limit(0)).count() == 0
+
+
+STARTS = [
+    '<svg class="icon" />', "<svg/>", "<svg><path d='x'/>", '<svg viewBox="0 0 1 1"><title>icon</title><text>drawn</text><path d="x"/></svg>', "<math/>",
+    "<video src=x>", "<audio src=x>", "<object data=x>", "<canvas>", "<template>", "<noscript>", "<svg><g><g/></svg><svg/>",
+]
+
+
+@pytest.mark.parametrize("start", STARTS)
+def test_elements_without_end_do_not_hide_the_page(model, start):
+    want = ["Head & more", "Bold text of the start.", "One two three words.", "Fish © chips here."]
+    assert H.main_text(PAGE.replace("<article>", start + "<article>"), model) == want
+    got = H.main_text(PAGE.replace("<article>", "<article>" + start), model)
+    assert got == want
+    assert H.main_text(PAGE.replace("<article>", start + "<article>").replace("</article>", "</article><svg></svg><video></video><object></object>"), model) == want
+
+
+def test_text_of_formulas_and_fallbacks(model):
+    text = "<article><h1>Head of it</h1><p>The sum <math><mi>a</mi><mspace/><mo>+</mo><mi>b</mi></math> is here in a long sentence.</p><object><p>A fallback text of several words in the article.</p></object></article>"
+    assert H.main_text(PAGE.replace("<article>", text + "<article>"), model)[:3] == ["Head of it", "The sum a+b is here in a long sentence.", "A fallback text of several words in the article."]
