@@ -1,12 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Every n-gram of a test item that a document has is a seed hit. A seed is rare if
-few documents have it, or if it is among the rarer half of its item's n-grams: so
-an item that leaked into many documents, whose n-grams are all frequent, keeps
-seeds too. Around its rare seeds a document's words are aligned with the item
+few documents have it, if it is among the rarer half of its item's n-grams, or if it
+is the rarest of some LEAST_WORDS words of the item: so an item that leaked into many
+documents, whose n-grams are all frequent, keeps seeds too, and so does each part. Around its rare seeds a document's words are aligned with the item
 (local alignment: matches count, mismatches and gaps cost), so copies with
 inserted, dropped or changed words still score. A passage counts as a leak if its
-score reaches ``percent`` of the item's own.
+score reaches ``percent`` of the item's own, or if it is an excerpt: EXCERPT words and
+more, whatever their share of the item, verbatim or with few changes. Passages that
+stand apart count together by the words of the item that they cover.
 
 Test items are scanned for in blocks of at most ``block_ngrams`` n-grams; a block
 is what each task holds, so a large benchmark means more passes, never a larger
@@ -33,6 +35,8 @@ RARE_ONE_IN = 1_000
 PERCENT = 60
 #: Matching words that a leak has at least (all words of a shorter item).
 LEAST_WORDS = 6
+#: Words of an excerpt that is a leak by itself, and the percentage of its length that its score reaches.
+EXCERPT, DENSE = 13, 80
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -67,6 +71,68 @@ def align(item: list[str], passage: list[str]) -> tuple[int, int]:
     return best, end
 
 
+def longest_run(item: list[str], passage: list[str]) -> tuple[int, int]:
+    """Longest run of words that stand in both: (words, end in the passage, exclusive)."""
+    if not item or not passage:
+        return 0, 0
+    number: dict[str, int] = {}
+    b = np.array([number.setdefault(w, len(number)) for w in passage])
+    row, best, end = np.zeros(len(b), np.int64), 0, 0
+    for w in item:
+        row = np.where(b == number.get(w, -1), np.concatenate([[0], row[:-1]]) + 1, 0)
+        k = int(row.argmax())
+        if row[k] > best:
+            best, end = int(row[k]), k + 1
+    return best, end
+
+
+def passage_leak(item: list[str], words: list[str], windows: list[tuple[int, int]], percent: int) -> tuple[int, int, int] | None:
+    """(score, first word, last word exclusive) of the leak of ``item`` in windows of a document, or None.
+
+    The best passage if it is a leak by itself; else an excerpt; else all dense
+    passages of LEAST_WORDS words and more, if the words of the item they cover make
+    a leak. Then the score is that of the covered words.
+    """
+    need, least = MATCH * len(item), MATCH * min(len(item), LEAST_WORDS)
+    pieces, todo = [], list(windows)
+    while todo:
+        lo, hi = todo.pop()
+        score, end = align(item, words[lo:hi])
+        if score < least:
+            continue
+        back, length = align(item[::-1], words[lo : lo + end][::-1])
+        first, last = lo + end - (length if back == score else end), lo + end
+        pieces.append((score, first, last))
+        # A passage that is a leak needs no others from its window.
+        if 100 * score < percent * need:
+            todo += [(a, b) for a, b in ((lo, first), (last, hi)) if MATCH * (b - a) >= least]
+    if not pieces:
+        return None
+    best = max(pieces, key=lambda x: x[0])
+    if 100 * best[0] >= percent * need:
+        return best
+    dense = [x for x in pieces if 100 * x[0] >= DENSE * MATCH * (x[2] - x[1])]
+    loose = [x[1:] for x in pieces if x not in dense]
+    while loose:  # a longer and looser alignment may hold verbatim parts
+        lo, hi = loose.pop()
+        n, end = longest_run(item, words[lo:hi])
+        if MATCH * n >= least:
+            dense.append((MATCH * n, lo + end - n, lo + end))
+            loose += [(lo, lo + end - n), (lo + end, hi)]
+    longest = max(dense, key=lambda x: x[0], default=(0, 0, 0))
+    if longest[0] >= MATCH * EXCERPT:
+        return longest
+    if len(dense) > 1:
+        covered = set()
+        for score, first, last in dense:
+            there, end = align(words[first:last], item)
+            back, length = align(words[first:last][::-1], item[:end][::-1])
+            covered.update(range(end - (length if back == there else end), end))
+        if 100 * len(covered) >= percent * len(item):
+            return MATCH * len(covered), min(x[1] for x in dense), max(x[2] for x in dense)
+    return None
+
+
 def _items(benchmark: DataFrame, n: int) -> Iterator[list[tuple[int, list[str]]]]:
     """Items in blocks of about BLOCK_NGRAMS n-grams; the driver holds one block at a time."""
     held, size = [], 0
@@ -109,7 +175,7 @@ def _hits(docs: DataFrame, items: list[tuple[int, list[str]]], n: int) -> DataFr
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, version (hash of the text), item_id, score, percent of the item's own score, first and last word (exclusive) of the passage.
+    """doc_id, version (hash of the text), item_id, score, percent of the item's own score, first and last word (exclusive) of the passage or passages.
 
     Null and empty texts have no leak. Items without a word are skipped, items
     shorter than ``n`` words are one seed, items of one id are separate texts of it.
@@ -139,7 +205,12 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, list[str]]], total: int
     for k, (_, words) in enumerate(items):
         own = sorted({number[g] for g in _grams(words, n)}, key=lambda g: (counts.get(g, 0), g))
         rarer = own[: (len(own) + 1) // 2]
-        for g in {*rarer, *(g for g in own if counts.get(g, 0) * RARE_ONE_IN <= total)}:
+        row = [number[g] for g in _grams(words, n)]
+        part = max(1, LEAST_WORDS - n + 1)
+        # A part that a document has holds no n-gram that no document has.
+        parts = [row[i : i + part] for i in range(max(1, len(row) - part + 1))]
+        rarest = {min(p, key=lambda g: (counts[g], g)) for p in parts if all(g in counts for g in p)}
+        for g in {*rarer, *rarest, *(g for g in own if counts.get(g, 0) * RARE_ONE_IN <= total)}:
             of_gram.setdefault(g, []).append(k)
     rare = spark.createDataFrame([(g,) for g in of_gram], "gram long")
     # Thin rows; the rare seeds are bounded by the block.
@@ -164,22 +235,17 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, list[str]]], total: int
                 for k, starts in places.items():
                     item, item_words = items[k]
                     need, reach = MATCH * len(item_words), 2 * len(item_words) + n
-                    best = (0, 0, 0)
-                    lo = hi = -1
-                    # Windows around seeds; those that overlap are one passage.
-                    for at in [*sorted(starts), None]:
-                        if at is not None and 0 <= hi and at - reach <= hi:
-                            hi = min(len(words), at + reach)
-                            continue
-                        if hi >= 0:
-                            score, end = align(item_words, words[lo:hi])
-                            if score > best[0]:
-                                back, length = align(item_words[::-1], words[lo : lo + end][::-1])
-                                best = (score, lo + end - (length if back == score else end), lo + end)
-                        if at is not None:
-                            lo, hi = max(0, at - reach), min(len(words), at + reach)
-                    if 100 * best[0] >= percent * need and best[0] >= MATCH * min(len(item_words), LEAST_WORDS):
-                        rows.append((ids[i], versions[i], item, best[0], 100 * best[0] // need, best[1], best[2]))
+                    # Windows around seeds; those that overlap are one.
+                    windows: list[tuple[int, int]] = []
+                    for at in sorted(starts):
+                        lo, hi = max(0, at - reach), min(len(words), at + reach)
+                        if windows and at - reach <= windows[-1][1]:
+                            windows[-1] = (windows[-1][0], hi)
+                        else:
+                            windows.append((lo, hi))
+                    leak = passage_leak(item_words, words, windows, percent)
+                    if leak:
+                        rows.append((ids[i], versions[i], item, leak[0], 100 * leak[0] // need, leak[1], leak[2]))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(7)], names=[f.split()[0] for f in _LEAK.split(", ")])
 
     return found.mapInArrow(scored, _LEAK)

@@ -55,6 +55,28 @@ def test_copies_edits_and_clean_documents(docs, bench):
     assert (one["first_word"], one["last_word"], one["score"]) == (3, 3 + len(w), 2 * len(w))
 
 
+def test_excerpts_and_parts_that_stand_apart(docs, bench):
+    item = [f"w{i}" for i in range(60)]
+    short = [f"s{i}" for i in range(20)]
+    far = " ".join(f"f{i}" for i in range(400))
+    part = lambda a, b, w=item: " ".join(w[a:b])
+    loose = " ".join(x for w in item[13:26] for x in ("y", "y", w))
+    texts = [
+        f"{far} {part(0, 29)} {far}", f"a {part(31, 60)} b", f"a {part(20, 33)} b", f"a {part(20, 32)} b",  # halves, an excerpt of 13 words, one of 12
+        f"{part(0, 8, short)} {far} {part(8, 16, short)}", f"{part(0, 8, short)} q r s t u v w x y z {part(8, 16, short)}", f"{part(0, 8, short)} {far} {part(0, 8, short)}",
+        f"a {part(0, 13)} {loose} b", f"{part(0, 10)} x {part(11, 20)} {far}",
+    ]
+    got = found(decontam.leaks(docs(texts), bench([(1, " ".join(item)), (2, " ".join(short))])))
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (5, 2), (7, 1), (8, 1)}
+    assert got[4, 2] == got[5, 2] == 80
+
+
+def test_an_excerpt_of_frequent_words_has_a_seed(docs, bench):
+    """The half of an item that many documents have is found in each of them."""
+    item = [f"w{i}" for i in range(60)]
+    assert len(found(decontam.leaks(docs([f"start {i} {' '.join(item[:25])} end {i}" for i in range(40)]), bench([(1, " ".join(item))])))) == 40
+
+
 def test_an_item_in_most_documents_is_found(docs, bench):
     texts = [f"start {i} {ITEM} end {i}" for i in range(40)]
     assert len(found(decontam.leaks(docs(texts), bench([(1, ITEM)])))) == 40
