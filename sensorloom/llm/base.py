@@ -87,3 +87,17 @@ def numbered(df: DataFrame, order: list[str], sums: dict[str, str], name: str =
     for k in ["_row", *sums]:
         out = out.withColumn(k, (F.col(k) + F.col("_row0" if k == "_row" else f"_0_{k}")).cast("long"))
     return out.drop("_range", "_r", "_row0", *[f"_0_{k}" for k in sums])
+
+
+def text_slices(batches, column: str = "text", most: int = 4_000_000):
+    """The rows of Arrow batches in slices of about ``most`` bytes of ``column``, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        part = (np.cumsum(size) - size) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                yield batch.slice(lo, hi - lo)
