@@ -12,7 +12,7 @@ from sensorloom.catalog.cleaning import ALL, VALID_BY_ERA, cols
 from sensorloom.catalog.scalars import WINDOWS
 from sensorloom.catalog.windows import AHEAD, ENDS, FEATURES, LENGTH
 from sensorloom.functions.scalar import time_parts, wind_vector
-from sensorloom.operators import impute as im
+from sensorloom.operators import completion as co
 from sensorloom.operators import ml
 from sensorloom.operators.filters import filter_valid_flags
 from sensorloom.operators.rowwindows import sequence_unnest
@@ -73,26 +73,58 @@ cells AS (SELECT CAST(epoch // 3600 AS INTEGER) AS "row", concat(aqs_code, '|',
   GROUP BY 1, 2)"""
 
 
-@query("biscale", sql(READINGS, CELLS, f"""
-SELECT "row", "col", {r('value', 'value')}, true AS restored, true AS row_centred, true AS col_centred, true AS row_even, true AS col_even
-FROM cells"""))
+#: Peels of the core and rounds of the plain alternation: enough for a fixed point on the given tables.
+PEELS, ROUNDS = 8, 160
+
+
+def _even(peels: int, rounds: int) -> list[str]:
+    """SQL of the fixed point: ``ro`` has the offset and scale of each row, ``co`` those of each column."""
+    core = ['c0 AS (SELECT "row", "col", value FROM cells WHERE value IS NOT NULL)']
+    for k in range(peels):
+        core.append(f"""c{k + 1} AS (SELECT * FROM c{k}
+  QUALIFY count(*) OVER (PARTITION BY "row") >= 3 AND count(*) OVER (PARTITION BY "col") >= 3)""")
+    return [
+        *core,
+        f"""o AS MATERIALIZED (SELECT c0."row" AS i, c0."col" AS j, c0.value AS x, c{peels}.value IS NOT NULL AS core
+  FROM c0 LEFT JOIN c{peels} ON c0."row" = c{peels}."row" AND c0."col" = c{peels}."col")""",
+        f"""st AS (
+  SELECT 0 AS it, j, avg(x) AS b, CAST(0 AS DOUBLE) AS v FROM o GROUP BY j
+  UNION ALL
+  SELECT it, j, b, coalesce(v + g, avg(v + g) OVER (), 0) FROM (
+    SELECT it + 1 AS it, j, any_value(b) + sum(e / t) / sum(1 / t) AS b, any_value(g) AS g,
+      0.5 * ln(avg(power((e - d) / t, 2)) FILTER (core)) AS v
+    FROM (
+      SELECT *, sum(e / t) OVER (PARTITION BY j) / sum(1 / t) OVER (PARTITION BY j) AS d,
+        coalesce(sum(ln(t) / nc) FILTER (core) OVER () / sum(1 / nc) FILTER (core) OVER (), 0) AS g
+      FROM (
+        SELECT *, coalesce(sqrt(avg(power(e * q, 2)) FILTER (core) OVER (PARTITION BY i)), 1) AS t,
+          count(*) FILTER (core) OVER (PARTITION BY i) AS nc
+        FROM (
+          SELECT *, x - b - sum(q * (x - b)) OVER (PARTITION BY i) / sum(q) OVER (PARTITION BY i) AS e
+          FROM (SELECT o.*, it, b, exp(-v) AS q FROM o JOIN st USING (j) WHERE it < {rounds}))))
+    GROUP BY it, j))""",
+        f"en AS (SELECT j, b, exp(-v) AS q FROM st WHERE it = {rounds})",
+        """ra AS (SELECT i, sum(q * (x - b)) / sum(q) AS a FROM o JOIN en USING (j) GROUP BY i)""",
+        """ro AS (SELECT i, any_value(a) - any_value(m) AS a, coalesce(sqrt(avg(power((x - a - b) * q, 2)) FILTER (core)), 1) AS t
+  FROM o JOIN en USING (j) JOIN ra USING (i), (SELECT avg(a) AS m FROM ra) GROUP BY i)""",
+        """co AS (SELECT j, b + m AS b, 1 / q AS s FROM en, (SELECT avg(a) AS m FROM ra))""",
+    ]
+
+
+@query("biscale", sql(READINGS, CELLS, *_even(PEELS, ROUNDS), """
+SELECT cells."row", cells."col", round(value, 6) AS value, round((value - a - b) / t / s, 3) + 0.0 AS scaled,
+  round(coalesce(a, 0) + coalesce(b, (SELECT avg(b) FROM co)), 2) + 0.0 AS shift,
+  round(coalesce(t, 1) * coalesce(s, (SELECT exp(avg(ln(s))) FROM co)), 2) AS "scale", coalesce(CAST(core AS INTEGER), 0) AS core
+FROM cells LEFT JOIN ro ON i = "row" LEFT JOIN co ON j = "col" LEFT JOIN o ON o.i = "row" AND "col" = o.j""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t: Tables):
-    """The fixed point: observed cells scale back to their value, rows and columns have mean 0 and one deviation."""
-    cells = im.biscale(im.matrix_cells(t.readings, ["o3", "temp"]))
-    out = cells.withColumn(
-        "restored", F.coalesce(F.abs(F.col("scaled") * F.col("scale") + F.col("shift") - F.col("value")) < 1e-6, F.lit(True))
-    )
-    for axis in ("row", "col"):
-        stats = cells.groupBy(axis).agg(F.avg("scaled").alias("_m"), F.stddev_pop("scaled").alias("_s"))
-        even = F.coalesce((F.abs(F.col("_s") - 1) < 1e-3) | (F.col("_s") < 1e-3), F.lit(True))
-        centred = F.coalesce(F.abs("_m") < 1e-3, F.lit(True))
-        out = out.join(stats.select(axis, centred.alias(f"{axis}_centred"), even.alias(f"{axis}_even")), axis)
-    return out.select("row", "col", "value", "restored", "row_centred", "col_centred", "row_even", "col_even")
+    """Every cell's value, shift and scale at the fixed point; SQL gets there by plain alternation."""
+    cells = co.biscale(co.matrix_cells(t.readings, ["o3", "temp"]), tolerance=1e-10)
+    return cells.withColumns({"scaled": F.round("scaled", 3), "shift": F.round("shift", 2), "scale": F.round("scale", 2)})
 
 
 @query("impute_low_rank")
 def _(t: Tables):
-    return im.impute_low_rank(im.matrix_cells(t.readings, ["o3", "nox", "temp"]), rank=3, iterations=5)
+    return co.impute_low_rank(co.matrix_cells(t.readings, ["o3", "nox", "temp"]))
 
 
 @query("impute_by_model", sql(READINGS, """

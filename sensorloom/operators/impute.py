@@ -1,19 +1,15 @@
-"""Filling gaps: from neighbours, from the values around a gap, from means, by completion, by model."""
+"""Filling gaps: from neighbours, from the values around a gap, from means. Completion is in ``completion``."""
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import softmax_weights
 from sensorloom.operators.filters import any_null
-from sensorloom.plans.ordered import join_null_safe, nearest_values
-from sensorloom.plans.staging import staged
+from sensorloom.plans.ordered import nearest_values
 from sensorloom.schema import EPOCH, ROW_ID, SITE
 
 
@@ -84,75 +80,3 @@ def impute_column_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
     known = {c: m for c, m in means.items() if m is not None}
     return df.drop(*[c for c in columns if c not in known]).fillna(known)
-
-
-# --- matrix completion ------------------------------------------------------
-
-def matrix_cells(df: DataFrame, measures: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:
-    """(row, col, value): mean per time bucket and site measure; unobserved cells are null."""
-    row = F.floor(F.col(EPOCH) / bucket_seconds).cast("int").alias("row")
-    means = df.groupBy(SITE, row).agg(*[F.avg(m).alias(m) for m in measures])
-    return means.unpivot([SITE, "row"], list(measures), "measure", "value").select(
-        "row", F.concat_ws("|", SITE, "measure").alias("col"), "value"
-    )
-
-
-def biscale(cells: DataFrame, tolerance: float = 1e-4, max_rounds: int = 50) -> DataFrame:
-    """Centre and scale rows and columns of a cell frame in turn until both are even.
-
-    Each round is two grouped aggregates, staged to keep the plan short; it ends when no
-    row or column was shifted by more than ``tolerance`` or scaled by more than that
-    share, else with a warning after ``max_rounds``. ``scaled`` is the result, so value =
-    scaled x ``scale`` + ``shift`` in any case. A row or column of equal values is centred only.
-    """
-    state = cells.withColumns({"scaled": F.col("value"), "shift": F.lit(0.0), "scale": F.lit(1.0), "_moved": F.lit(0.0)})
-    for _ in range(max_rounds):
-        state = state.withColumn("_moved", F.lit(0.0))
-        for axis in ("row", "col"):
-            stats = state.groupBy(axis).agg(
-                F.avg("scaled").alias("_mean"), F.stddev_pop("scaled").alias("_std")
-            )
-            mean = F.coalesce("_mean", F.lit(0.0))
-            width = F.when(F.col("_std") > 1e-12, F.col("_std")).otherwise(F.lit(1.0))
-            state = (
-                join_null_safe(state, stats, [axis])
-                .withColumns({"_mean": mean, "_width": width})
-                .withColumns(
-                    {
-                        "scaled": (F.col("scaled") - F.col("_mean")) / F.col("_width"),
-                        "shift": F.col("shift") + F.col("scale") * F.col("_mean"),
-                        "scale": F.col("scale") * F.col("_width"),
-                        "_moved": F.greatest("_moved", F.abs("_mean"), F.abs(F.col("_width") - 1)),
-                    }
-                )
-                .drop("_mean", "_std", "_width")
-            )
-        state = staged(state, "biscale")
-        if (state.agg(F.max("_moved")).first()[0] or 0.0) <= tolerance:
-            return state.drop("_moved")
-    # A matrix of nearly equal rows has no fixed point: its columns keep almost no spread.
-    warnings.warn(f"rows and columns are not even within {tolerance} after {max_rounds} rounds", stacklevel=2)
-    return state.drop("_moved")
-
-
-def impute_low_rank(
-    cells: DataFrame, rank: int = 4, iterations: int = 30, regularization: float = 0.1, seed: int = 0, tolerance: float = 1e-4,
-    max_rounds: int = 50,
-) -> DataFrame:
-    """Complete the null cells of a (row, col, value) frame by a low-rank model of the observed ones.
-
-    Cells are biscaled, factorised by alternating least squares and scaled back.
-    """
-    ready = biscale(cells, tolerance, max_rounds)
-    indexed = StringIndexer(inputCol="col", outputCol="_col").fit(ready).transform(ready)
-    indexed = indexed.withColumn("_col", F.col("_col").cast("int"))
-    model = ALS(
-        userCol="row", itemCol="_col", ratingCol="scaled", rank=rank, maxIter=iterations,
-        regParam=regularization, seed=seed, coldStartStrategy="nan",
-    ).fit(indexed.filter(F.col("scaled").isNotNull()))
-    guessed = model.transform(indexed)
-    # A row or column without any observed cell has no factors: the mean level is left.
-    level = F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)) * F.col("scale") + F.col("shift")
-    return guessed.select(
-        "row", "col", F.coalesce("value", level).alias("value"), F.col("value").isNull().alias("imputed")
-    )

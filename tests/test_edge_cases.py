@@ -385,13 +385,6 @@ def test_column_mean_drops_empty_columns(frame):
     assert df.columns == ["x"] and column(df, "x", "x") == [1.0, 1.0]
 
 
-def test_low_rank_recovers_a_product(frame):
-    cells = [(r, f"c{c}", None if (r * 7 + c) % 11 == 0 else float((r + 1) * (c + 1))) for r in range(30) for c in range(6)]
-    df = im.impute_low_rank(frame(cells, "row int, col string, value double"), rank=2, iterations=10, regularization=0.01, max_rounds=5)
-    errors = [abs(x.value - (x.row + 1) * (int(x.col[1:]) + 1)) for x in df.filter("imputed").collect()]
-    assert df.count() == 180 and len(errors) > 10 and sum(errors) / len(errors) < 8
-
-
 # --- neighbours in space ----------------------------------------------------
 
 def test_nearest_sites_are_exact(spark):
