@@ -37,17 +37,16 @@ def _(t: Tables):
 
 @query("stream_tumble_rows", sql(READINGS, WINDOWS, f"SELECT aqs_code, window_no, {rs(*FEATURES)} FROM windows"))
 def _(t: Tables):
-    return streams.stream_tumble_rows(t.stream_readings(), FEATURES, new_path(t.spark, "stream"))
+    return streams.stream_tumble_rows(t.stream_readings(), FEATURES, new_path(t.spark, "stream"), files=1)
 
 
 @query("stream_sequences", sql(READINGS, WINDOWS, ENDS, f"SELECT aqs_code, window_no, step, {rs(*FEATURES)} FROM steps"))
 def _(t: Tables):
     path = new_path(t.spark, "stream")
     windows = streams.stream_tumble_rows(t.stream_readings(), FEATURES, path)
-    arriving = t.spark.readStream.schema(windows.schema).parquet(f"{path}/windows/batch=*")
-    built = streams.stream_sequences(
-        arriving, FEATURES, new_path(t.spark, "stream"), length=LENGTH, prediction=AHEAD
-    )
+    # Files of windows, not all at once.
+    arriving = t.spark.readStream.schema(windows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/windows")
+    built = streams.stream_sequences(arriving, FEATURES, new_path(t.spark, "stream"), length=LENGTH, prediction=AHEAD)
     return sequence_unnest(built)
 
 

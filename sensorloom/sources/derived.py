@@ -9,9 +9,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import time_parts, time_parts_full
-from sensorloom.plans.staging import staged
+from sensorloom.plans.staging import new_path, staged
 
 _EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {})"
 _SITE = "concat('48_201_', lpad(string({}), 4, '0')) AS aqs_code"
@@ -76,13 +77,17 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stream(self, name: str) -> DataFrame:
-        """The same table as a file stream."""
-        reader = self.spark.readStream.schema(self.read(name).schema).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.folder)
+    def stream(self, name: str, by: str, pieces: int = 5) -> DataFrame:
+        """The same table as a stream of files that arrive in the order of the expression ``by``, one for each batch."""
+        ranged = self.read(name).repartitionByRange(pieces, F.expr(by)).withColumn("_piece", F.spark_partition_id())
+        ranged, folder = staged(ranged, "pieces"), new_path(self.spark, "arriving")
+        for piece in range(pieces):
+            ranged.where(F.col("_piece") == piece).drop("_piece").coalesce(1).write.mode("append").parquet(folder)
+        return self.spark.readStream.schema(self.read(name).schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
     def stream_readings(self) -> DataFrame:
-        return readings_from_events(self.stream("events"), "user_id % 12")
+        epoch = _EPOCH.format("ts")
+        return readings_from_events(self.stream("events", f"{epoch} - {epoch} % 300"), "user_id % 12")
 
     @cached_property
     def readings(self) -> DataFrame:
