@@ -144,7 +144,8 @@ def sequence_build(
         columns["_ahead"] = lambda w: F.lead(WINDOW, reach).over(w)
     columns |= {f"label_{t}": lambda w, t=t: F.lead(t, 1).over(w) for t in with_labels}
     columns |= _enrichments(enrich, length)
-    framed = over_chunks(windows, [SITE], WINDOW, columns, before=length - 1, after=reach)
+    moments = {length: list(enrich)} if enrich else None
+    framed = over_chunks(windows, [SITE], WINDOW, columns, before=length - 1, after=reach, moments=moments)
     complete = F.size("seq") == length
     if reach:
         complete = complete & F.col("_ahead").isNotNull()
@@ -153,29 +154,33 @@ def sequence_build(
 
 
 def _enrichments(features: Sequence[str], length: int) -> dict[str, object]:
-    trailing = (-(length - 1), 0)
+    """Slope, first value and deviation from the trailing moments of ``over_chunks``."""
     steps = float(sum(range(length)))
     columns: dict[str, object] = {}
     for f in features:
-        columns[f"{f}_m"] = lambda w, f=f: F.try_divide(
-            F.coalesce(F.sum(f).over(w.rowsBetween(*trailing)), F.lit(0.0)), F.lit(steps)
-        )
-        columns[f"{f}_b"] = lambda w, f=f: F.first(f).over(w.rowsBetween(*trailing))
-        columns[f"{f}_std"] = lambda w, f=f: F.stddev_pop(f).over(w.rowsBetween(*trailing))
+        n, mean, m2 = (F.col(f"_{part}{length}_{f}") for part in ("n", "mean", "m2"))
+        total = F.coalesce(n * mean, F.lit(0.0))
+        columns[f"{f}_m"] = lambda w, total=total: F.try_divide(total, F.lit(steps))
+        columns[f"{f}_b"] = lambda w, f=f: F.lag(f, length - 1).over(w)
+        columns[f"{f}_std"] = lambda w, n=n, m2=m2: F.when(n > 0, F.sqrt(m2 / n))
     return columns
 
 
+def _enriched(windows: DataFrame, features: Sequence[str], length: int) -> DataFrame:
+    framed = over_chunks(
+        windows, [SITE], WINDOW, _enrichments(features, length), before=length - 1, moments={length: list(features)}
+    )
+    return framed.filter(_full(length))
+
+
 def seq_regression_features(windows: DataFrame, features: Sequence[str], length: int = SEQUENCE_ROWS) -> DataFrame:
     """Per sequence and feature m = sum of values / (0 + ... + L-1) and b = first value."""
-    framed = over_chunks(windows, [SITE], WINDOW, _enrichments(features, length), before=length - 1)
-    parts = [f"{f}_{p}" for f in features for p in ("m", "b")]
-    return framed.filter(_full(length)).select(SITE, WINDOW, *parts)
+    return _enriched(windows, features, length).select(SITE, WINDOW, *[f"{f}_{p}" for f in features for p in ("m", "b")])
 
 
 def seq_std_features(windows: DataFrame, features: Sequence[str], length: int = SEQUENCE_ROWS) -> DataFrame:
     """Population deviation per sequence and feature, nulls skipped."""
-    framed = over_chunks(windows, [SITE], WINDOW, _enrichments(features, length), before=length - 1)
-    return framed.filter(_full(length)).select(SITE, WINDOW, *[f"{f}_std" for f in features])
+    return _enriched(windows, features, length).select(SITE, WINDOW, *[f"{f}_std" for f in features])
 
 
 def sequence_flatten(sequences: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -314,18 +319,17 @@ def rolling_forecast_frame(
     windows: DataFrame, target: str, length: int = SEQUENCE_ROWS, prediction: int = PREDICTION_ROWS
 ) -> DataFrame:
     """Actual value, future mean, rolling mean and the band of one deviation, in long form."""
-    past = (-(length - 1), 0)
     columns = {
-        "future_mean": lambda w: F.avg(target).over(w.rowsBetween(1, prediction)),
-        "rolling_mean": lambda w: F.avg(target).over(w.rowsBetween(*past)),
-        "_std": lambda w: F.stddev_pop(target).over(w.rowsBetween(*past)),
+        "future_mean": lambda w: F.lead(f"_mean{prediction}_{target}", prediction).over(w),
         "_ahead": lambda w: F.lead(WINDOW, prediction).over(w),
     }
-    framed = over_chunks(windows, [SITE], WINDOW, columns, before=length - 1, after=prediction)
+    moments = {k: [target] for k in dict.fromkeys([length, prediction])}
+    framed = over_chunks(windows, [SITE], WINDOW, columns, before=length - 1, after=prediction, moments=moments)
+    mean, n = F.col(f"_mean{length}_{target}"), F.col(f"_n{length}_{target}")
+    deviation = F.when(n > 0, F.sqrt(F.col(f"_m2{length}_{target}") / n))
     wide = framed.filter(_full(length) & F.col("_ahead").isNotNull()).select(
-        SITE, WINDOW, F.col(target).alias("actual"), "future_mean", "rolling_mean",
-        (F.col("rolling_mean") - F.col("_std")).alias("band_low"),
-        (F.col("rolling_mean") + F.col("_std")).alias("band_high"),
+        SITE, WINDOW, F.col(target).alias("actual"), "future_mean", mean.alias("rolling_mean"),
+        (mean - deviation).alias("band_low"), (mean + deviation).alias("band_high"),
     )
     series = ["actual", "future_mean", "rolling_mean", "band_low", "band_high"]
     return wide.unpivot([SITE, WINDOW], series, "series", "value")

@@ -180,13 +180,15 @@ def over_chunks(
     after: int = 0,
     descending: bool = False,
     chunk_rows: int | None = None,
+    moments: dict[int, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
     ``row`` is a dense row number per key. Each entry of ``columns`` is a function
     ``WindowSpec -> Column``; the window is ordered by ``row`` and covers one chunk
     plus the copied neighbours. Copies add (before + after) / chunk to the data,
-    at most an eighth.
+    at most an eighth. ``moments`` names columns for each length of a trailing frame (within
+    ``before``); the makers may use what ``trailing_moments`` adds for them.
     """
     size = chunk_rows or max(4096, 8 * (before + after))
     number = F.col(row)
@@ -198,8 +200,38 @@ def over_chunks(
     spec: WindowSpec = Window.partitionBy(*keys, "_chunk").orderBy(
         F.col(row).desc() if descending else F.col(row)
     )
+    for length, of in (moments or {}).items():
+        copies = trailing_moments(copies, [*keys, "_chunk"], row, of, length)
     return (
         copies.withColumns({name: make(spec) for name, make in columns.items()})
         .filter(F.col("_chunk") == F.col("_own"))
         .drop("_own", "_chunk")
     )
+
+
+def trailing_moments(df: DataFrame, keys: Sequence[str], row: str, columns: Sequence[str], length: int) -> DataFrame:
+    """Add ``_n{length}_c``, ``_mean{length}_c`` and ``_m2{length}_c`` of the last ``length`` rows, at a cost that does not depend on ``length``.
+
+    Rows are cut into blocks of ``length`` rows. A frame is the end of one block and the beginning of the next,
+    so its moments are those of a growing frame from the front of its block and of one from the
+    back of the block before, merged. Both are centred: nothing is subtracted from a larger
+    sum, and a flat frame has deviation 0. Nulls are skipped; without values the mean is null.
+    """
+    number = F.col(row)
+    df = df.withColumn("_block", F.floor(number / length))
+    inside, grow = Window.partitionBy(*keys, "_block"), (Window.unboundedPreceding, 0)
+    front, back = (inside.orderBy(o).rowsBetween(*grow) for o in (number, number.desc()))
+    part = lambda c, w: F.struct(F.count(c).over(w).alias("n"), F.avg(c).over(w).alias("mean"), (F.var_pop(c).over(w) * F.count(c).over(w)).alias("m2"))
+    df = df.withColumns({f"_front_{c}": part(c, front) for c in columns}).withColumns({f"_back_{c}": part(c, back) for c in columns})
+    ordered = Window.partitionBy(*keys).orderBy("_block", number)
+    df = df.withColumns({f"_back_{c}": F.lag(f"_back_{c}", length - 1).over(ordered) for c in columns})
+    out: dict[str, Column] = {}
+    for c in columns:
+        a, b = F.col(f"_front_{c}"), F.when(F.pmod(number, F.lit(length)) != length - 1, F.col(f"_back_{c}"))
+        an, bn = a["n"], F.coalesce(b["n"], F.lit(0))
+        n = an + bn
+        apart = F.when((an > 0) & (bn > 0), b["mean"] - a["mean"]).otherwise(F.lit(0.0))
+        out[f"_n{length}_{c}"] = n
+        out[f"_mean{length}_{c}"] = F.when(an == 0, b["mean"]).otherwise(a["mean"] + apart * F.try_divide(bn, n))
+        out[f"_m2{length}_{c}"] = F.coalesce(a["m2"], F.lit(0.0)) + F.coalesce(b["m2"], F.lit(0.0)) + apart * apart * F.coalesce(F.try_divide(an * bn, n), F.lit(0.0))
+    return df.withColumns(out).drop("_block", *[f"_{side}_{c}" for side in ("front", "back") for c in columns])

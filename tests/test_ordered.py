@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -85,3 +86,22 @@ def test_frames_over_chunks(rows, before, after, chunk):
 
 def test_empty_input(rows):
     assert number_rows(rows.filter("false"), ["site"], ["epoch", "id"]).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 24])
+def test_trailing_moments(spark, length):
+    """Count, mean and squared deviations of every frame, over chunk edges, with nulls and large levels."""
+    rng = random.Random(length)
+    values = [None if rng.random() < 0.3 else 1e9 + rng.gauss(0, 1) for _ in range(150)] + [5.25] * 60 + [None] * 40
+    df = spark.createDataFrame([(s, i, v) for s in ("a", "b") for i, v in enumerate(values)], "site string, rn long, x double")
+    pick = {"n": lambda w: F.col(f"_n{length}_x"), "mean": lambda w: F.col(f"_mean{length}_x"), "m2": lambda w: F.col(f"_m2{length}_x")}
+    got = over_chunks(df, ["site"], "rn", pick, before=length - 1, chunk_rows=31, moments={length: ["x"]})
+    for r in got.filter(F.col("rn") >= length - 1).collect():
+        own = [v for v in values[r.rn - length + 1 : r.rn + 1] if v is not None]
+        assert r.n == len(own)
+        if own:
+            mean = math.fsum(own) / len(own)
+            assert r.mean == pytest.approx(mean, rel=1e-14)
+            assert r.m2 == pytest.approx(sum((v - mean) ** 2 for v in own), rel=1e-5, abs=1e-7 if own[0] > 1e8 else 0.0)
+        else:
+            assert r.mean is None and r.m2 == 0.0
