@@ -1,8 +1,8 @@
 """Profiles: missing shares, value counts, exact quantiles, histograms, densities.
 
-Everything that depends on the distribution of a column starts from its *value
-table* (value, number of rows), which Spark pre-aggregates map-side: the raw rows
-are read once, and quantiles come from running totals over the values.
+Moments and exact quantiles come from ``selection``: a few passes that count rows in narrowing
+brackets, so continuous values are not shuffled one by one. ``value_table`` and ``quantiles``
+are the plain way over all distinct values.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.scalar import epoch_time
+from sensorloom.operators import selection
 from sensorloom.operators.filters import is_daytime, is_highpol_month, is_nighttime
 from sensorloom.operators.joins import high_o3_days
-from sensorloom.plans.ordered import join_null_safe, running_total
+from sensorloom.operators.selection import Values, values_of
+from sensorloom.plans.ordered import running_total
 from sensorloom.plans.scalars import as_value
 from sensorloom.plans.staging import staged
 from sensorloom.schema import EPOCH, SITE, YEAR
@@ -150,11 +152,6 @@ def value_table(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) ->
     return staged(counts, "values")
 
 
-def _per_column(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Without groups a summary has one row per column of the call: that is broadcast."""
-    return rows if groups else F.broadcast(rows)
-
-
 def quantiles(values: DataFrame, groups: Sequence[str], shares: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per (groups, column) of a value table."""
     keys = [*groups, "column"]
@@ -170,33 +167,6 @@ def quantiles(values: DataFrame, groups: Sequence[str], shares: dict[str, float]
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *ends.values())
 
 
-def numeric_summary(values: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std (n - 1), min, quartiles and max per (groups, column) of a value table."""
-    keys = [*groups, "column"]
-    base = values.groupBy(*keys).agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    # Deviations from the mean, not the sum of squares: large values of small spread stay exact.
-    spread = (
-        join_null_safe(values, _per_column(base.select(*keys, "mean"), groups), keys)
-        .groupBy(*keys)
-        .agg(
-            F.sqrt(
-                F.try_divide(
-                    F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), F.lit(2.0))), F.sum("n") - 1
-                )
-            ).alias("std")
-        )
-    )
-    return (
-        join_null_safe(join_null_safe(base, spread, keys), quantiles(values, groups, QUARTILES), keys)
-        .select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    )
-
-
 def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, unique, top and freq of text columns; the smallest value wins a tie."""
     counts = (
@@ -212,7 +182,7 @@ def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str] = ()) -> DataFrame:
     """One row per column: count, unique, top, freq, mean, std, min, quartiles, max."""
-    summary = numeric_summary(value_table(df, [], numeric))
+    summary = selection.summary(values_of(df, [], numeric), QUARTILES)
     if text:
         summary = text_summary(df, text).unionByName(summary, allowMissingColumns=True)
     return summary
@@ -239,15 +209,11 @@ def subset_tags(df: DataFrame, limit: float = 40.0) -> DataFrame:
 def describe_by_site_year(df: DataFrame, numeric: Sequence[str], year: str = YEAR, limit: float = 40.0) -> DataFrame:
     """The numeric summary for every (site, year, subset, column).
 
-    Values are counted once for each combination of subsets a row is in, so no task
+    Rows are counted once for each combination of subsets they are in, so no task
     holds the values of a group. A missing site or year is a group like any other.
     """
-    groups = [SITE, year, "subset"]
-    counted = value_table(subset_tags(df, limit), [SITE, year, "tags"], numeric)
-    spread = counted.withColumn("subset", F.explode("tags")).groupBy(*groups, "column", "value").agg(
-        F.sum("n").alias("n")
-    )
-    return numeric_summary(staged(spread, "subset-values"), groups)
+    values = values_of(subset_tags(df, limit), [SITE, year], numeric, tags="tags")
+    return selection.summary(values, QUARTILES)
 
 
 def subset_row_counts(df: DataFrame, year: str = YEAR, limit: float = 40.0) -> DataFrame:
@@ -258,25 +224,26 @@ def subset_row_counts(df: DataFrame, year: str = YEAR, limit: float = 40.0) -> D
 
 # --- limits, histograms, densities ------------------------------------------
 
-def iqr_limits(values: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """median + 1.5 x (p75 - p25) per (groups, column)."""
+def iqr_limits(values: Values) -> DataFrame:
+    """The summary with ``limit``, median + 1.5 x (p75 - p25), per (groups, column)."""
     limit = F.col("p50") + 1.5 * (F.col("p75") - F.col("p25"))
-    return quantiles(values, groups, QUARTILES).withColumn("limit", limit)
+    return selection.summary(values, QUARTILES).withColumn("limit", limit)
 
 
 def upper_limit_3std(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """median + 3 x std (n - 1) per column."""
-    summary = numeric_summary(value_table(df, [], columns))
+    summary = selection.summary(values_of(df, [], columns), QUARTILES)
     return summary.select("column", (F.col("p50") + 3 * F.col("std")).alias("limit"))
 
 
 def histogram_iqr(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """``bins`` equal bins on [0, limit]; outside values are dropped, the last bin is closed."""
-    values = value_table(df, [], columns)
-    limits = iqr_limits(values).select("column", "limit").filter(F.col("limit") > 0)
-    inside = values.join(_per_column(limits, ()), "column").filter((F.col("value") >= 0) & (F.col("value") <= F.col("limit")))
+    values = values_of(df, [], columns)
+    limits = staged(iqr_limits(values).select("column", "limit").filter(F.col("limit") > 0), "limits")
+    # One row per column of the call.
+    inside = values.long().join(F.broadcast(limits), "column").filter((F.col("value") >= 0) & (F.col("value") <= F.col("limit")))
     number = F.least(F.floor(F.col("value") * bins / F.col("limit")), F.lit(bins - 1))
-    counted = inside.groupBy("column", "limit", number.alias("bin")).agg(F.sum("n").alias("n"))
+    counted = inside.groupBy("column", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return (
         every.join(counted.select("column", "bin", "n"), ["column", "bin"], "left")
@@ -300,35 +267,45 @@ def histogram_density(df: DataFrame, columns: Sequence[str], bins: int = 10) ->
     )
 
 
-def kernel_density(df: DataFrame, columns: Sequence[str], points: int = 100) -> DataFrame:
-    """Gaussian density (Scott bandwidth) on ``points`` grid points over [0, limit].
+def kernel_density(df: DataFrame, columns: Sequence[str], points: int = 100, cells: int | None = 64) -> DataFrame:
+    """Gaussian density (Scott bandwidth h) on ``points`` grid points over [0, limit].
 
-    Summed over distinct values weighted by their counts; a value meets each grid
-    point inside its own row, and the sums combine map-side.
+    Values are first put on a grid of ``cells`` places for each bandwidth: a value's weight goes to the places on
+    both sides, in proportion. The kernel is then summed for all points in one expression over the places,
+    which are as many as the range has bandwidths, times ``cells``. Interpolating the kernel between places is off by
+    at most 1 / (8 cells^2) of its peak 1 / (h sqrt(2 pi)), so by 3e-5 of it for 64. Places farther than
+    40 bandwidths from [0, limit] are left out: their kernel is 0 in double precision.
+    ``cells=None`` is exact: the places are then the distinct values.
     """
-    values = value_table(df, [], columns)
-    spread = numeric_summary(values).select(
-        "column",
-        F.col("count").alias("total"),
-        (F.col("std") * F.pow(F.col("count").cast("double"), F.lit(-0.2))).alias("h"),
-        (F.col("p50") + 1.5 * (F.col("p75") - F.col("p25"))).alias("limit"),
+    values = values_of(df, [], columns)
+    spread = iqr_limits(values).select(
+        "column", F.col("count").alias("total"), (F.col("std") * F.pow(F.col("count").cast("double"), F.lit(-0.2))).alias("h"), "limit"
     ).filter((F.col("h") > 0) & (F.col("limit") > 0))
-    placed = values.join(_per_column(spread, ()), "column").withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    )
-    at = F.col("limit") * F.col("point") / (points - 1)
-    kernel = F.exp(F.pow((at - F.col("value")) / F.col("h"), F.lit(2.0)) * -0.5)
-    return placed.groupBy("column", "point", "limit", "h", "total").agg(
-        F.sum(F.col("n") * kernel).alias("mass")
-    ).select(
-        "column", "point", at.alias("x"),
+    spread = F.broadcast(staged(spread, "bandwidths"))  # one row per column of the call
+    near = values.long().join(spread, "column").where(F.col("value").between(-40 * F.col("h"), F.col("limit") + 40 * F.col("h")))
+    if cells:
+        step = F.col("h") / cells
+        place = F.floor(F.col("value") / step)
+        over = F.col("value") / step - place
+        # Each place's weight and what of it belongs to the next one.
+        sums = near.groupBy("column", place.alias("_place")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(over).alias("_over"))
+        both = sums.select("column", "_place", (F.col("_n") - F.col("_over")).alias("_w")).unionByName(sums.select("column", (F.col("_place") + 1).alias("_place"), F.col("_over").alias("_w")))
+        masses = both.groupBy("column", "_place").agg(F.sum("_w").alias("_w")).join(spread, "column").withColumn("_at", F.col("_place") * step)
+    else:
+        masses = near.groupBy("column", F.col("value").alias("_at")).agg(F.count(F.lit(1)).cast("double").alias("_w")).join(spread, "column")
+    # One sum for each point, all in one aggregate: places meet the grid inside their row.
+    x = lambda p: F.col("limit") * p / (points - 1)
+    kernel = lambda p: F.sum(F.col("_w") * F.exp(F.pow((x(p) - F.col("_at")) / F.col("h"), F.lit(2.0)) * -0.5))
+    grid = masses.groupBy("column", "limit", "h", "total").agg(*[kernel(p).alias(str(p)) for p in range(points)])
+    return grid.unpivot(["column", "limit", "h", "total"], [str(p) for p in range(points)], "point", "mass").select(
+        "column", F.col("point").cast("int").alias("point"), x(F.col("point").cast("int")).alias("x"),
         (F.col("mass") / (F.col("total") * F.col("h") * sqrt(2 * pi))).alias("density"),
-    )
+    )
 
 
 def flag_outliers(df: DataFrame, columns: Sequence[str], drop: bool = False) -> DataFrame:
     """Add ``{column}_outlier``: the value lies below 0 or above the quartile limit; or drop such rows."""
-    limits = iqr_limits(value_table(df, [], columns))
+    limits = iqr_limits(values_of(df, [], columns))
     bounds = as_value(
         limits.agg(*[F.max(F.when(F.col("column") == c, F.col("limit"))).alias(c) for c in columns])
     )
@@ -343,14 +320,35 @@ def flag_outliers(df: DataFrame, columns: Sequence[str], drop: bool = False) ->
 # --- two columns, bounds ----------------------------------------------------
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pearson matrix over pairwise complete rows, all pairs in one aggregate."""
-    pairs = list(combinations_with_replacement(features, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = one.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "r")
-    names = F.split("pair", r"\|")
-    half = long.select(names[0].alias("a"), names[1].alias("b"), "r")
-    mirrored = half.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return half.union(mirrored)
+    """Pearson matrix over pairwise complete rows; null for a pair with fewer than two rows or without spread.
+
+    Rows are grouped by which features they have. Within such a group every pair of its features is complete,
+    so one count, one sum for each feature and one product sum for each pair serve all pairs, and the groups that
+    have both features of a pair add up. Values are shifted by the feature's mean, which keeps the sums exact.
+    """
+    features = list(features)
+    means = as_value(df.agg(*[F.avg(f).alias(f) for f in features]))
+    shifted = df.select(*[(F.col(f).cast("double") - means[f]).alias(f"x{i}") for i, f in enumerate(features)])
+    pairs = list(combinations_with_replacement(range(len(features)), 2))
+    has = F.concat(*[F.when(F.col(f"x{i}").isNull(), F.lit("0")).otherwise(F.lit("1")) for i in range(len(features))])
+    sums = shifted.groupBy(has.alias("has")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(len(features))],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+    )
+    part = lambda i, j: F.struct(
+        F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), "n", F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
+        F.col(f"p{min(i, j)}_{max(i, j)}").alias("ab"), F.col(f"p{i}_{i}").alias("aa"), F.col(f"p{j}_{j}").alias("bb"),
+    )
+    given = lambda i: F.substring("has", i + 1, 1) == "1"
+    both = [F.when(given(i) & given(j), part(i, j)) for i in range(len(features)) for j in range(len(features))]
+    every = sums.select(F.explode(F.array_compact(F.array(*both))).alias("q")).select("q.*")
+    total = every.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "ab", "aa", "bb")])
+    within = lambda xy, x, y: F.col(xy) - F.col(x) * F.col(y) / F.col("n")
+    spread = lambda xx, x: F.when(within(xx, x, x) > 1e-14 * F.col(xx), within(xx, x, x))
+    r = F.when(F.col("n") > 1, F.try_divide(within("ab", "sa", "sb"), F.sqrt(spread("aa", "sa")) * F.sqrt(spread("bb", "sb"))))
+    names = df.sparkSession.createDataFrame([(a, b) for a in features for b in features], "a string, b string")
+    found = total.select("a", "b", F.when(F.col("a") == F.col("b"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r).alias("r"))
+    return names.join(F.broadcast(found), ["a", "b"], "left")
 
 
 def global_minmax(df: DataFrame, features: Sequence[str]) -> DataFrame:
