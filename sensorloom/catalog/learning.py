@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from sensorloom.catalog.base import READINGS, TIMED, Tables, query, r, rs, sql
@@ -12,9 +11,10 @@ from sensorloom.catalog.cleaning import ALL, VALID_BY_ERA, cols
 from sensorloom.catalog.scalars import WINDOWS
 from sensorloom.catalog.windows import AHEAD, ENDS, FEATURES, LENGTH
 from sensorloom.functions.scalar import time_parts, wind_vector
+from sensorloom.operators import cluster, ml, spectral
 from sensorloom.operators import completion as co
-from sensorloom.operators import ml
 from sensorloom.operators.filters import filter_valid_flags
+from sensorloom.operators.forest import rf_regress_multi
 from sensorloom.operators.rowwindows import sequence_unnest
 from sensorloom.operators.sets import top_importances
 from sensorloom.plans.staging import new_path, staged
@@ -169,10 +169,9 @@ def _(t: Tables):
 @query("rf_regress_multi")
 def _(t: Tables):
     targets = ["no", "nox", "o3"]
-    rows = t.timed.dropna(subset=targets).select("event_id", *INPUTS, *targets)
-    ready = staged(ml.split_random(ml.assemble(rows, INPUTS), "event_id"), "examples")
-    train, test = ready.filter("part = 'train'"), ready.filter("part = 'test'")
-    _, scored = ml.rf_regress_multi(train, test, targets, trees=5, depth=5)
+    rows = t.timed.dropna(subset=[*INPUTS, *targets]).select("event_id", *INPUTS, *targets)
+    ready = staged(ml.split_random(rows, "event_id"), "examples")
+    _, scored = rf_regress_multi(ready.filter("part = 'train'"), ready.filter("part = 'test'"), INPUTS, targets)
     return scored.select("event_id", *targets, *[f"pred_{x}" for x in targets])
 
 
@@ -231,7 +230,7 @@ def _(t: Tables):
 # --- clustering and components ----------------------------------------------
 
 def _embedded(t: Tables):
-    return ml.vectors(t.read("embeddings").select("vec_id", "embedding"), "embedding")
+    return t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
 
 
 @query("kmeans_sweep", """
@@ -240,17 +239,28 @@ FROM (SELECT unnest(generate_series(4, 18, 2)) AS k), (SELECT count(*) AS n FROM
 def _(t: Tables):
     """Every fit converges, has at most the inertia of a single cluster, and puts each row into a cluster."""
     rows = staged(_embedded(t), "embedded")
-    spread = rows.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).first()["s"]
-    total = float(sum(spread["variance"])) * (spread["count"] - 1)  # the inertia of a single cluster
-    return ml.kmeans_sweep(rows).select("k", "converged", (F.col("inertia") <= total).alias("within_total"), "n_rows")
+    total = cluster.kmeans_fits(rows, [1], seeds=1)[0].inertia
+    return cluster.kmeans_sweep(rows).select("k", "converged", (F.col("inertia") <= total).alias("within_total"), "n_rows")
+
+
+@query("cluster_sizes", """
+SELECT CAST(k AS INTEGER) AS k, n AS n_rows, k AS n_clusters FROM (SELECT unnest([4, 8]) AS k), (SELECT count(*) AS n FROM embeddings)""")
+def _(t: Tables):
+    """Sizes of the labelled clusters add up to all rows."""
+    rows = staged(_embedded(t), "embedded")
+    labelled = cluster.cluster_labels(rows, cluster.kmeans_fits(rows, [4, 8]), ["vec_id"])
+    sizes = cluster.cluster_sizes(labelled)
+    return sizes.groupBy("k").agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_clusters"))
 
 
-@query("cluster_sizes")
+@query("cluster_centres")
 def _(t: Tables):
-    rows = staged(_embedded(t).select("vec_id", "features"), "kmeans")
-    return ml.cluster_sizes(ml.kmeans_fit(rows, 8, seed=1).transform(rows))
+    rows = staged(_embedded(t), "embedded")
+    return cluster.cluster_centres(rows, cluster.kmeans_fits(rows, [8])).select("k", "cluster", "n_rows", F.posexplode("centre").alias("dim", "value"))
 
 
 @query("pca_variance")
 def _(t: Tables):
-    return ml.pca_variance(_embedded(t))
+    scaled = ml.fit_minmax_scaler(ml.vectors(_embedded(t), "features", "vector"), column="vector")
+    rows = scaled.transform(ml.vectors(_embedded(t), "features", "vector")).select(vector_to_array("scaled").alias("scaled"))
+    return spectral.pca_variance(staged(rows, "scaled"))

@@ -1,18 +1,14 @@
-"""Data work around Spark ML: scaling, splits, regression, clustering, components, metrics."""
+"""Data work around Spark ML: scaling, splits, regression, metrics."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, MinMaxScaler, MinMaxScalerModel, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, MinMaxScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,17 +105,6 @@ def rf_regress(train: DataFrame, test: DataFrame, label: str, **options: int) ->
     return model, model.transform(test)
 
 
-def rf_regress_multi(
-    train: DataFrame, test: DataFrame, labels: Sequence[str], **options: int
-) -> tuple[dict[str, Model], DataFrame]:
-    """One forest per target on the same features; predictions become ``pred_{target}``."""
-    models, scored = {}, test
-    for label in labels:
-        models[label] = random_forest(label=label, **options).fit(train)
-        scored = models[label].setPredictionCol(f"pred_{label}").transform(scored)
-    return models, scored
-
-
 def rf_best_of_seeds(
     train: DataFrame, validate: DataFrame, label: str, seeds: int, **options: int
 ) -> tuple[Model, int, float]:
@@ -211,52 +196,3 @@ def impute_by_model(df: DataFrame, estimator: Estimator, features: Sequence[str]
     return scored.withColumns({f"{label}_imputed": missing, label: F.coalesce(F.col(label), guess)}).drop(
         "features", "prediction"
     )
-
-
-# --- clustering and components ----------------------------------------------
-
-def kmeans_fit(df: DataFrame, k: int, seed: int = 0, column: str = "features", max_iterations: int = 300) -> Model:
-    return KMeans(k=k, seed=seed, featuresCol=column, maxIter=max_iterations).fit(df)
-
-
-def kmeans_sweep(
-    df: DataFrame, ks: Sequence[int] = range(4, 20, 2), seed: int = 0, parallelism: int = 4, max_iterations: int = 300
-) -> DataFrame:
-    """Inertia, iterations, convergence and clustered rows per k; the input is staged once and several fits run at a time."""
-    ready = staged(df.select("features"), "kmeans").persist()
-
-    def fit(k: int) -> tuple[int, float, int, bool, int]:
-        summary = kmeans_fit(ready, k, seed, max_iterations=max_iterations).summary
-        return k, float(summary.trainingCost), int(summary.numIter), int(summary.numIter) < max_iterations, sum(summary.clusterSizes)
-
-    with ThreadPool(parallelism) as pool:
-        rows = pool.map(inheritable_thread_target(df.sparkSession)(fit), ks)
-    ready.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, iterations int, converged boolean, n_rows long")
-
-
-def cluster_centres(model: Model) -> DataFrame:
-    """One row for each cluster: its number and centre."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return model.summary.cluster.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
-
-
-def cluster_sizes(labeled: DataFrame) -> DataFrame:
-    return labeled.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def pca_variance(df: DataFrame, components: Sequence[int] = range(4, 40, 4), column: str = "features") -> DataFrame:
-    """Explained variance of the first n components, input scaled to 0-1.
-
-    One fit with the largest n serves all smaller ones. Spark reports shares of the
-    total variance, so they are multiplied by it.
-    """
-    scaled = staged(fit_minmax_scaler(df, column=column).transform(df).select("scaled"), "pca")
-    per_column = scaled.select(Summarizer.variance(F.col("scaled")).alias("v")).first()["v"]
-    variance, largest = float(sum(per_column)), min(max(components), len(per_column))
-    model = PCA(k=largest, inputCol="scaled", outputCol="pc").fit(scaled)
-    shares = [float(v) for v in model.explainedVariance.toArray()]
-    rows = [(n, sum(shares[:n]), sum(shares[:n]) * variance) for n in components if n <= largest]
-    return df.sparkSession.createDataFrame(rows, "n_components int, ratio double, variance double")
-
-
