@@ -54,6 +54,16 @@ def _(t: Tables):
     return jn.neighbor_pairs(t.stations, 0.25)
 
 
+@query("neighbor_places", sql(STATIONS, """
+places AS (SELECT latitude, longitude, count(DISTINCT aqs_code) AS n FROM stations GROUP BY 1, 2)""", f"""
+SELECT {r('latitude', 'latitude')}, {r('longitude', 'longitude')}, {r('lat2', 'lat2')}, {r('long2', 'long2')}, {r('distance', 'distance')}, n_sites, n_neighbors
+FROM (SELECT a.latitude, a.longitude, b.latitude AS lat2, b.longitude AS long2, a.n AS n_sites, b.n AS n_neighbors,
+    round(sqrt(pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2)), 9) AS distance
+  FROM places a, places b) WHERE distance <= 0.25 AND (n_sites > 1 OR latitude <> lat2 OR longitude <> long2)"""))
+def _(t: Tables):
+    return jn.neighbor_places(t.stations, 0.25)
+
+
 @query("nearest_k_sites", sql(STATIONS, NEAREST, f"""
 SELECT aqs_code, neighbor, {r('distance', 'distance')}, rank FROM nearest"""))
 def _(t: Tables):

@@ -112,26 +112,51 @@ def _around(cell: str) -> Column:
     return F.explode(F.sequence(F.col(cell) - 1, F.col(cell) + 1))
 
 
-def neighbor_pairs(sites: DataFrame, max_distance: float) -> DataFrame:
-    """Ordered pairs a != b no farther apart than ``max_distance`` degrees.
+def site_places(sites: DataFrame) -> DataFrame:
+    """(site, latitude, longitude), each once: which place every site with coordinates stands at."""
+    known = F.col(SITE).isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return sites.filter(known).select(SITE, "latitude", "longitude").distinct()
+
+
+def neighbor_places(sites: DataFrame, max_distance: float) -> DataFrame:
+    """Ordered pairs of places no farther apart than ``max_distance`` degrees, with the number of sites at each.
 
-    Cells of that size hold the candidates, so only sites of adjacent cells meet.
+    Sites at one place are one class: more of them add members, not pairs. A place
+    is paired with itself, at distance 0, if two sites stand there. Cells of the distance's size hold
+    the candidates, so only places of adjacent cells meet. ``site_places`` has the members.
     """
+    places = site_places(sites).groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n_sites"))
     cx, cy = F.floor(F.col("longitude") / max_distance), F.floor(F.col("latitude") / max_distance)
-    placed = sites.select(SITE, "latitude", "longitude", cx.alias("cx"), cy.alias("cy"))
+    placed = places.withColumns({"cx": cx, "cy": cy})
     left = placed.withColumn("cx", _around("cx")).withColumn("cy", _around("cy"))
     right = placed.select(
-        F.col(SITE).alias("neighbor"), F.col("latitude").alias("lat2"), F.col("longitude").alias("long2"), "cx", "cy"
+        F.col("latitude").alias("lat2"), F.col("longitude").alias("long2"), F.col("n_sites").alias("n_neighbors"), "cx", "cy"
     )
     distance = F.round(euclid_distance("latitude", "longitude", "lat2", "long2"), 9)
+    itself = (F.col("latitude") == F.col("lat2")) & (F.col("longitude") == F.col("long2"))
     return (
         left.join(right, ["cx", "cy"])
-        .filter(F.col(SITE) != F.col("neighbor"))
-        .select(SITE, "neighbor", distance.alias("distance"))
+        .filter(~itself | (F.col("n_sites") > 1))
+        .select("latitude", "longitude", "lat2", "long2", distance.alias("distance"), "n_sites", "n_neighbors")
         .filter(F.col("distance") <= max_distance)
     )
 
 
+def neighbor_pairs(sites: DataFrame, max_distance: float) -> DataFrame:
+    """``neighbor_places`` spelt out for sites: ordered pairs a != b with their distance.
+
+    The output grows with the square of the sites at one place; where many share places, work
+    with ``neighbor_places`` and ``site_places`` instead.
+    """
+    members = site_places(sites)
+    others = members.select(F.col(SITE).alias("neighbor"), F.col("latitude").alias("lat2"), F.col("longitude").alias("long2"))
+    near = neighbor_places(sites, max_distance).select("latitude", "longitude", "lat2", "long2", "distance")
+    return (
+        near.join(members, ["latitude", "longitude"]).join(others, ["lat2", "long2"])
+        .filter(F.col(SITE) != F.col("neighbor")).select(SITE, "neighbor", "distance")
+    )
+
+
 def nearest_k_sites(sites: DataFrame, k: int = 4, smallest: float = 2.0**-17, levels: int = 27) -> DataFrame:
     """The exact ``k`` nearest sites of each site by (distance, code).
 

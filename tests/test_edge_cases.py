@@ -410,6 +410,18 @@ def test_few_sites_have_few_neighbours(spark):
     assert sorted((r.aqs_code, r.neighbor) for r in jn.neighbor_pairs(sites, 1.5).collect()) == [("a", "c"), ("c", "a")]
 
 
+def test_shared_places_add_members_not_pairs(frame):
+    rows = [(f"s{i}", 29.0 + i % 10 * 0.5, -95.0) for i in range(1000)] + [("s3", 30.5, -95.0), (None, 29.0, -95.0), ("lost", None, -95.0)]
+    sites = frame(rows, "aqs_code string, latitude double, longitude double")
+    got = {(r.latitude, r.lat2): (r.distance, r.n_sites, r.n_neighbors) for r in jn.neighbor_places(sites, 0.6).collect()}
+    assert len(got) == 10 + 2 * 9 and got[29.0, 29.5] == (0.5, 100, 100) and got[29.0, 29.0] == (0.0, 100, 100)
+    assert jn.site_places(sites).count() == 1000
+    few = sites.where("aqs_code IN ('s1', 's2', 's11')")
+    want = {("s1", "s11"), ("s11", "s1"), ("s1", "s2"), ("s2", "s1"), ("s11", "s2"), ("s2", "s11")}
+    assert {(r.aqs_code, r.neighbor) for r in jn.neighbor_pairs(few, 0.6).collect()} == want
+
+
+
 # --- chain, metrics ---------------------------------------------------------
 
 def test_configured_chain(frame):
