@@ -162,7 +162,7 @@ def _(t: Tables):
 
 @query("rf_regress")
 def _(t: Tables):
-    _, scored = ml.rf_regress(*_examples(t), "label", trees=10, depth=6)
+    _, scored = ml.rf_regress(*_examples(t), "label")
     return scored.select("event_id", "label", "prediction")
 
 
@@ -178,7 +178,7 @@ def _(t: Tables):
 @query("rf_best_of_seeds")
 def _(t: Tables):
     train, test = _examples(t)
-    model, seed, r2 = ml.rf_best_of_seeds(train, test, "label", seeds=2, trees=5, depth=5)
+    model, seed, r2 = ml.rf_best_of_seeds(train, test, "label", seeds=3)
     return model.transform(test).select("event_id", "label", "prediction").withColumns(
         {"seed": F.lit(seed), "r2": F.lit(r2)}
     )
@@ -186,7 +186,7 @@ def _(t: Tables):
 
 @query("gbt_regress")
 def _(t: Tables):
-    _, scored = ml.gbt_regress(*_examples(t), "label", rounds=3)
+    _, scored = ml.gbt_regress(*_examples(t), "label")
     return scored.select("event_id", "label", "prediction")
 
 
@@ -204,27 +204,27 @@ def _(t: Tables):
 @query("feature_importance")
 def _(t: Tables):
     train, test = _examples(t)
-    model, _ = ml.rf_regress(train, test, "label", trees=5, depth=5)
+    model, _ = ml.rf_regress(train, test, "label")
     return ml.feature_importance(model, INPUTS, train)
 
 
 @query("top_importances")
 def _(t: Tables):
     train, test = _examples(t, label="nox")
-    model, _ = ml.rf_regress(train, test, "label", trees=5, depth=5)
+    model, _ = ml.rf_regress(train, test, "label")
     return top_importances(ml.feature_importance(model, INPUTS, train), 3)
 
 
 @query("cross_validate")
 def _(t: Tables):
     train, _ = _examples(t)
-    return ml.cross_validate(train, ml.random_forest(trees=4, depth=4), "label", folds=4)
+    return ml.cross_validate(train, ml.random_forest(), "label")
 
 
 @query("grid_search")
 def _(t: Tables):
     train, _ = _examples(t)
-    return ml.grid_search(train, "label", trees=[3, 5], subsets=["onethird", "all"], leaf_rows=[1, 4], folds=2)
+    return ml.grid_search(train, "label", trees=[10], subsets=["onethird", "all"], leaf_rows=[1, 10, 50])
 
 
 # --- clustering and components ----------------------------------------------

@@ -117,7 +117,7 @@ def test_stateless_steps(spark, readings, arriving, tmp_path):
 
 
 def test_closed_hours_are_merged(spark, readings, tmp_path, monkeypatch):
-    """Forty batches, one of them written twice: a bounded number of folders, and every hour once."""
+    """Twenty-three batches, those that merge written twice: a bounded number of folders, and every hour once."""
     path = str(tmp_path / "out")
     taken = []
     monkeypatch.setattr(streams, "run_available", lambda hours, checkpoint, each, mode: [taken.append(each)])
@@ -127,16 +127,17 @@ def test_closed_hours_are_merged(spark, readings, tmp_path, monkeypatch):
     hours = lambda upto, since: readings.filter(F.col("epoch") < upto).groupBy(
         "aqs_code", (F.floor(F.col("epoch") / 3600) * 3600).alias("hour_epoch")
     ).agg(F.avg("temp").alias("temp"), F.max("epoch").alias("_m")).filter(F.col("_m") >= since).drop("_m")
-    width = 3000
-    for b in range(40):
-        for _ in range(2 if b in (19, 29) else 1):
+    width = 5400
+    for b in range(23):
+        for _ in range(2 if b in (9, 19) else 1):
             taken[0](hours((b + 1) * width, b * width), b)
     folders = [p for p in (tmp_path / "out" / "closed").glob("tier=*/slot=*")]
     assert len(folders) <= 14
-    live = streams.live_folders(39)
-    assert live == [f"tier=1/slot={s}" for s in range(4)]
+    live = streams.live_folders(22)
+    assert live == ["tier=0/slot=0", "tier=0/slot=1", "tier=0/slot=2", "tier=1/slot=0", "tier=1/slot=1"]
+    assert len(streams.live_folders(10**6)) <= 9 * 7
     closed = spark.read.parquet(*[f"{path}/closed/{f}" for f in live])
-    now = spark.read.parquet(f"{path}/open/place={39 % 3}")
+    now = spark.read.parquet(f"{path}/open/place={22 % 3}")
     assert now.count() <= 10
     want = readings.groupBy("aqs_code", (F.floor(F.col("epoch") / 3600) * 3600).alias("hour_epoch")).agg(F.avg("temp").alias("temp"))
     assert same(closed.select("aqs_code", "hour_epoch", "temp").unionByName(now.select("aqs_code", "hour_epoch", "temp")), want)
