@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorloom.catalog.base import READINGS, STATIONS, TIMED, Tables, query, r, rs, sql
+from sensorloom.catalog.base import READINGS, SITES, STATIONS, TIMED, Tables, query, r, rs, sql
 from sensorloom.catalog.scalars import NEAREST, WINDOWS
 from sensorloom.functions.scalar import time_parts, wind_vector
 from sensorloom.operators import impute as im
@@ -14,6 +14,7 @@ from sensorloom.operators import rowwindows as rw
 from sensorloom.operators.filters import filter_valid_flags
 from sensorloom.operators.joins import nearest_k_sites
 from sensorloom.plans.chain import chain_from_config, pipeline_from_config
+from sensorloom.plans.prepare import prepare_sequences
 from sensorloom.plans.staging import new_path, staged
 from sensorloom.sources.sinks import write_yearly_csv
 
@@ -406,3 +407,31 @@ def _(t: Tables):
     windows = staged(rw.tumble_rows(rows, _FLAGSHIP, mask=None), "windows")
     scaled = pf.minmax_scale(windows, _FLAGSHIP, pf.global_minmax(windows, _FLAGSHIP))
     return scaled.na.fill(0.0)
+
+
+def _step(c):
+    return f'CASE WHEN b."{c}_min" = b."{c}_max" THEN 0 ELSE coalesce((w."{c}" - b."{c}_min") / abs(b."{c}_max" - b."{c}_min"), 0) END'
+
+
+def _as_o3(expression: str, name: str) -> str:
+    return r(f"coalesce(({expression} - o3_min) / nullif(abs(o3_max - o3_min), 0), 0)", name)
+
+
+@query("prepare_sequences", sql(TIMED, SITES[len(READINGS) + 1 :], f"""
+valid AS (SELECT *, windspd * cos(radians(winddir)) AS wind_x_dir, windspd * sin(radians(winddir)) AS wind_y_dir FROM timed WHERE {_VALID}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY aqs_code ORDER BY epoch, event_id) - 1 AS rn FROM valid),
+windows AS (SELECT aqs_code, rn // 12 AS window_no, {', '.join(map(_block, _FLAGSHIP))} FROM numbered GROUP BY 1, 2 HAVING count(*) = 12),
+bounds AS (SELECT {', '.join(f'min("{c}") AS "{c}_min", max("{c}") AS "{c}_max"' for c in _FLAGSHIP)} FROM windows),
+placed AS (SELECT *, count(*) OVER (PARTITION BY aqs_code) AS n, lead(o3) OVER (PARTITION BY aqs_code ORDER BY window_no) AS label_o3,
+  coalesce(sum(o3) {OVER}, 0) / {float(sum(range(LENGTH)))} AS o3_m, first(o3) {OVER} AS o3_b, stddev_pop(o3) {OVER} AS o3_std FROM windows),
+ends AS (SELECT * FROM placed WHERE window_no >= {LENGTH - 1} AND window_no + {AHEAD} < n)""", f"""
+SELECT e.aqs_code, e.window_no, CAST(w.window_no - e.window_no + {LENGTH - 1} AS INTEGER) AS step,
+  {', '.join(r(_step(c), c) for c in _FLAGSHIP)}, {_as_o3('e.label_o3', 'label_o3')}, {_as_o3('e.o3_m', 'o3_m')}, {_as_o3('e.o3_b', 'o3_b')},
+  {_as_o3('e.o3_std', 'o3_std')}, {r('(latitude + 90) / 180', 'lat_scaled')}, {r('(longitude + 180) / 360', 'long_scaled')}
+FROM ends e JOIN windows w ON w.aqs_code = e.aqs_code AND w.window_no BETWEEN e.window_no - {LENGTH - 1} AND e.window_no
+  LEFT JOIN sites ON sites.aqs_code = e.aqs_code, bounds b"""))
+def _(t: Tables):
+    """The whole run, from readings to saved sequences."""
+    saved = prepare_sequences(t.readings, t.sites, new_path(t.spark, "prepared"), _FLAGSHIP, ["o3"], ["o3"], length=LENGTH, prediction=AHEAD)
+    steps = saved.select("*", F.posexplode("seq").alias("step", "s"))
+    return steps.select("aqs_code", "window_no", "step", "s.*", "label_o3", "o3_m", "o3_b", "o3_std", "lat_scaled", "long_scaled")
