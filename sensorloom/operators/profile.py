@@ -267,13 +267,13 @@ def histogram_density(df: DataFrame, columns: Sequence[str], bins: int = 10) ->
     )
 
 
-def kernel_density(df: DataFrame, columns: Sequence[str], points: int = 100, cells: int | None = 64) -> DataFrame:
+def kernel_density(df: DataFrame, columns: Sequence[str], points: int = 100, cells: int | None = 512) -> DataFrame:
     """Gaussian density (Scott bandwidth h) on ``points`` grid points over [0, limit].
 
     Values are first put on a grid of ``cells`` places for each bandwidth: a value's weight goes to the places on
     both sides, in proportion. The kernel is then summed for all points in one expression over the places,
     which are as many as the range has bandwidths, times ``cells``. Interpolating the kernel between places is off by
-    at most 1 / (8 cells^2) of its peak 1 / (h sqrt(2 pi)), so by 3e-5 of it for 64. Places farther than
+    at most 1 / (8 cells^2) of its peak 1 / (h sqrt(2 pi)), so by 5e-7 of it for 512. Places farther than
     40 bandwidths from [0, limit] are left out: their kernel is 0 in double precision.
     ``cells=None`` is exact: the places are then the distinct values.
     """
