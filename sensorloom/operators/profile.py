@@ -327,8 +327,8 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     have both features of a pair add up. Values are shifted by the feature's mean, which keeps the sums exact.
     """
     features = list(features)
-    means = as_value(df.agg(*[F.avg(f).alias(f) for f in features]))
-    shifted = df.select(*[(F.col(f).cast("double") - means[f]).alias(f"x{i}") for i, f in enumerate(features)])
+    means = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    shifted = df.select(*[(F.col(f).cast("double") - F.lit(means[i] or 0.0)).alias(f"x{i}") for i, f in enumerate(features)])
     pairs = list(combinations_with_replacement(range(len(features)), 2))
     has = F.concat(*[F.when(F.col(f"x{i}").isNull(), F.lit("0")).otherwise(F.lit("1")) for i in range(len(features))])
     sums = shifted.groupBy(has.alias("has")).agg(
@@ -337,18 +337,20 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
     part = lambda i, j: F.struct(
         F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), "n", F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"),
-        F.col(f"p{min(i, j)}_{max(i, j)}").alias("ab"), F.col(f"p{i}_{i}").alias("aa"), F.col(f"p{j}_{j}").alias("bb"),
+        F.col(f"p{i}_{j}").alias("ab"), F.col(f"p{i}_{i}").alias("aa"), F.col(f"p{j}_{j}").alias("bb"),
     )
     given = lambda i: F.substring("has", i + 1, 1) == "1"
-    both = [F.when(given(i) & given(j), part(i, j)) for i in range(len(features)) for j in range(len(features))]
+    both = [F.when(given(i) & given(j), part(i, j)) for i, j in pairs]
     every = sums.select(F.explode(F.array_compact(F.array(*both))).alias("q")).select("q.*")
     total = every.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "ab", "aa", "bb")])
     within = lambda xy, x, y: F.col(xy) - F.col(x) * F.col(y) / F.col("n")
     spread = lambda xx, x: F.when(within(xx, x, x) > 1e-14 * F.col(xx), within(xx, x, x))
     r = F.when(F.col("n") > 1, F.try_divide(within("ab", "sa", "sb"), F.sqrt(spread("aa", "sa")) * F.sqrt(spread("bb", "sb"))))
-    names = df.sparkSession.createDataFrame([(a, b) for a in features for b in features], "a string, b string")
     found = total.select("a", "b", F.when(F.col("a") == F.col("b"), F.when(r.isNotNull(), F.lit(1.0))).otherwise(r).alias("r"))
-    return names.join(F.broadcast(found), ["a", "b"], "left")
+    names = df.sparkSession.createDataFrame([(features[i], features[j]) for i, j in pairs], "a string, b string")
+    half = names.join(F.broadcast(found), ["a", "b"], "left")
+    mirror = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(mirror).alias("_p"), "r").select("_p.a", "_p.b", "r")
 
 
 def global_minmax(df: DataFrame, features: Sequence[str]) -> DataFrame:
