@@ -96,3 +96,49 @@ def test_stage(docs, bench):
     assert out.count() == 3
     assert decontam.decontaminated(df, bench([])).count() == 4
     assert decontam.decontaminated(docs([]), bench([(1, ITEM)])).count() == 0
+
+
+def every_leak(texts, items):
+    """All pairs, whole documents."""
+    out = set()
+    for d, text in enumerate(texts):
+        words = decontam.normal(text)
+        out |= {(d, i) for i, item in items if decontam.passage_leak(decontam.normal(item), words, [(0, len(words))], decontam.PERCENT)}
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 30, 1000])
+def test_edited_copies_however_many(docs, bench, copies):
+    """Copies with every fourth word changed, beside verbatim ones that make other n-grams rarer."""
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    filler = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    item = [f"w{i}" for i in range(64)]
+    edited = " ".join(f"x{i}" if i % 4 == 3 else w for i, w in enumerate(item))
+    texts = [f"{filler(20)} {edited} {filler(20)}" for _ in range(copies)] + [filler(60) for _ in range(1000)] + [f"{filler(9)} {' '.join(item)}"]
+    got = found(decontam.leaks(docs(texts), bench([(1, " ".join(item))])))
+    assert set(got) == {(i, 1) for i in [*range(copies), copies + 1000]}
+
+
+def test_all_rates_of_edits_against_aligning_all_pairs(docs, bench):
+    rng = random.Random(4)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(150)]
+    filler = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [(i, " ".join(filler(rng.randrange(14, 60)))) for i in range(8)]
+
+    def edited(words, rate):
+        out = []
+        for w in words:
+            kind = rng.choice("cdi") if rng.random() < rate else "k"
+            out += [] if kind == "d" else [rng.choice(pool)] if kind == "c" else [w, rng.choice(pool)] if kind == "i" else [w]
+        return out
+
+    texts = [" ".join(filler(30) + edited(items[j % 8][1].split(), (j % 10) / 20) + filler(30)) for j in range(400)]
+    want, got = every_leak(texts, items), set(found(decontam.leaks(docs(texts), bench(items))))
+    assert got <= want
+    assert len(want) > 200
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_items_without_id(docs, bench):
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs([ITEM, "clean"]), bench([(None, ITEM), (None, "")])).collect()} == {(0, None)}
