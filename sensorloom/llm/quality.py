@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.base import SPACE, WORD, query, table, whole, words
+from sensorloom.llm.base import SPACE, WORD, columns, query, table, whole, words
 
 #: Rows of the sample that rules are timed on.
 SAMPLE_ROWS = 2_000
@@ -167,11 +167,17 @@ def cascade(docs: DataFrame, order: list[Rule]) -> DataFrame:
 
 
 def quality_kept(docs: DataFrame) -> DataFrame:
-    """The rows that every rule keeps, with the columns of ``docs``."""
+    """The rows that every rule keeps, with the columns of ``docs`` as they are, whatever their names.
+
+    Null, empty and blank texts have no words and go. Rows that repeat are judged
+    alike. An empty table stays empty.
+    """
     order = [e.rule for e in estimate(docs)]
+    # The row is carried as one value, so no column of it meets those of the cascade.
+    rows = docs.select(F.struct(*columns(docs)).alias(_P + "row"), F.col("text").alias("text"))
     # A filter on `kept` alone would be pushed below the measures and compute them anew for each use.
-    held = cascade(docs, order).withColumn(_P + "held", F.monotonically_increasing_id())
-    return held.where(F.col("kept") & (F.col(_P + "held") >= 0)).select(*docs.columns)
+    held = cascade(rows, order).withColumn(_P + "held", F.monotonically_increasing_id())
+    return held.where(F.col("kept") & (F.col(_P + "held") >= 0)).select(_P + "row.*")
 
 
 _SQL = """

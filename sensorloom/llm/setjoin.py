@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.base import query, sized, table, thin, whole
+from sensorloom.llm.base import query, sized, table, thin, unused, whole
 from sensorloom.llm.graph import components
 from sensorloom.plans.staging import staged
 
@@ -510,15 +510,17 @@ def one_of_each_group(docs: DataFrame, rules: Rules = Rules(5, 80)) -> DataFrame
     """
     found = _grouped(docs, rules).where("n_shingles > 0").groupBy("doc_id", "version").agg(F.first("_least").alias("_least"), F.count(F.lit(1)).alias("n"))
     own = F.col("doc_id").eqNullSafe(F.col("_least.doc_id")) & (F.col("version") == F.col("_least.version"))
-    marked = staged(found.select(F.col("doc_id").alias("_id"), F.col("version").alias("_v"), own.alias("_first"), "n").where("NOT _first OR n > 1"), "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_version() == F.col("_v"))
+    one, two = unused(docs, "_id", "_v")
+    marked = staged(found.select(F.col("doc_id").alias(one), F.col("version").alias(two), own.alias("_first"), "n").where("NOT _first OR n > 1"), "gone")
+    again = marked.where("_first").select(one, two)
+    marked = marked.select(one, two)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (_version() == F.col(two))
     kept = docs.join(sized(marked), same, "left_anti")
-    again = marked.where("_first")
     if again.isEmpty():
         return kept
     # Combined map-side: a row that repeats often is no hot key.
-    repeated = docs.join(sized(again), same, "left_semi").withColumn("_version", _version())
-    return kept.unionByName(repeated.withColumn("_id", F.col("doc_id").cast("long")).dropDuplicates(["_id", "_version"]).drop("_id", "_version"))
+    repeated = docs.join(sized(again), same, "left_semi").withColumn(one, F.col("doc_id").cast("long")).withColumn(two, _version())
+    return kept.union(repeated.dropDuplicates([one, two]).drop(one, two))
 
 
 #: Every pair of documents with a common shingle, then the closure of their links.
