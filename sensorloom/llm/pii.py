@@ -2,11 +2,12 @@
 
 The fixed forms (email, ip, card, phone) are the seeds. The words around a seed
 are its patterns. Patterns and instances make a graph that is scored in rounds: a
-pattern is as good for a kind as the share of its distinct instances known to be
-of that kind; an unknown token of a fitting shape is as likely an identifier as
-the patterns around it make it. Accepted instances are known in the next round and
-teach further patterns. Spans of accepted tokens are added; those of the fixed
-forms always stay.
+pattern is as good for a kind as the share of the kind's known instances among all
+known ones and the tokens whose shape does not fit the kind (a token that fits and is
+not known yet says nothing against it); a token of a fitting shape is as likely an
+identifier as the patterns around it make it. Accepted instances are known in the next
+round and teach further patterns, until a round accepts none. Spans of accepted tokens
+are added; those of the fixed forms always stay.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # Runs of fewer than 13 digits would be dropped afterwards; they hold no longer run, so the look-ahead skips them.
 _CARD = r"(?:(?<![0-9])|\G)(?=(?:[0-9][\x20-]?){12}[0-9])[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# Words with an @ or at least four digits.
-_TOKEN = r"(?<![^\x20\x09-\x0D])(?:(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}|[^\x20\x09-\x0D@]*+@)[^\x20\x09-\x0D]*+"
+# Numbers of several groups (of five digits at most, joined by blanks, dots, hyphens, slashes, brackets), else words
+# with an @ or at least four digits.
+_GROUPS = r"(?<![^\x20\x09-\x0D(:;,'\x22=<\[])(?:\((?=[0-9]{1,5}\)))?+\+?+[0-9]{1,5}+(?![0-9A-Za-z])(?:[\x20().\x2F-]{1,3}+[0-9]{2,5}+(?![0-9A-Za-z]))++"
+_TOKEN = _GROUPS + r"|(?<![^\x20\x09-\x0D])(?:(?:[^\x20\x09-\x0D0-9]*+[0-9]){4}|[^\x20\x09-\x0D@]*+@)[^\x20\x09-\x0D]*+"
+# Dates, and spans of years, are no phones.
+_DATE = r"^(?:(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}(?![0-9])|(?:19|20)[0-9]{2}[-./ ]{1,3}(?:19|20)[0-9]{2}$)"
 
 #: Characters around a span that its context words are taken from.
 CONTEXT_CHARS = 80
-#: Distinct known instances a pattern needs, the least score of an accepted instance, and rounds.
-SUPPORT, ACCEPT, ROUNDS = 5, 0.9, 3
+#: Distinct known instances a pattern needs, and the least score of an accepted instance.
+SUPPORT, ACCEPT = 5, 0.9
 
 _P = "_p_"
 
@@ -103,7 +108,7 @@ def _shape(kind: str, token: Column) -> Column:
         return F.instr(token, "@") > 0
     if kind == "ip":
         return token.rlike(r"^[0-9A-Fa-f]*[.:][0-9A-Fa-f.:]+$")
-    return n.between(*((12, 19) if kind == "card" else (7, 15))) & token.rlike(r"^[+(0-9][0-9().\x20/-]*$")
+    return n.between(*((12, 19) if kind == "card" else (7, 15))) & token.rlike(r"^[+(0-9][0-9().\x20/-]*$") & ~token.rlike(_DATE)
 
 
 def base_mentions(docs: DataFrame) -> DataFrame:
@@ -126,42 +131,52 @@ def base_mentions(docs: DataFrame) -> DataFrame:
 
     base, tokens, gaps = _c("base"), _c("token"), _c("token_gaps")
     core = lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9@+(]+|[^A-Za-z0-9)]+$", "")
-    # A token that holds a base value, or is part of one, is no new identifier.
-    free = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: ~F.exists(base, lambda b: (F.instr(x["t"], b["value"]) > 0) | (F.instr(b["value"], core(x["t"])) > 0)))
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"), _start("token", i).cast("long").alias("at")))
+    # A token that meets a base span is no new identifier.
+    free = F.filter(placed, lambda x: ~F.exists(base, lambda b: (b["start"] < x["at"] + F.length(x["t"])) & (x["at"] < b["end"])))
     df = df.withColumn(_P + "free", free)
 
     def unseen(x: Column) -> Column:
-        start = _start("token", x["i"]) + F.length(F.regexp_extract(x["t"], r"^[^A-Za-z0-9@+(]*", 0))
-        left, right = F.get(gaps, x["i"]), F.coalesce(F.get(gaps, x["i"] + 1), F.lit(""))
+        start = x["at"] + F.length(F.regexp_extract(x["t"], r"^[^A-Za-z0-9@+(]*", 0))
+        # The context on the left may hold the token before.
+        left, right = F.concat(F.coalesce(F.get(tokens, x["i"] - 1), F.lit("")), F.get(gaps, x["i"])), F.coalesce(F.get(gaps, x["i"] + 1), F.lit(""))
         return F.struct(start.cast("long").alias("start"), core(x["t"]).alias("value"), _patterns(F.substring(left, F.greatest(F.length(left) - n, F.lit(0)) + 1, F.lit(n)), F.substring(right, F.lit(1), F.lit(n))).alias("patterns"))
 
     return df.select("doc_id", F.xxhash64(_P + "text", F.lit(6)).alias("version"), F.transform(base, context).alias("base"), F.transform(_c("free"), unseen).alias("tokens"))
 
 
-def scored_instances(mentions: DataFrame, support: int = SUPPORT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
-    """(value, kind): unseen tokens accepted in any round. ``mentions``: written rows of :func:`base_mentions`."""
+def scored_instances(mentions: DataFrame, support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
+    """(value, kind): unseen tokens accepted in any round; rounds go on until one accepts none. ``mentions``: written rows of :func:`base_mentions`.
+
+    A pattern needs ``support`` distinct known instances of a kind and a word of its own. A
+    token that fits several kinds has the kind of the highest score.
+    """
     known = mentions.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"), F.col("s.kind").alias("kind"), F.explode("s.patterns").alias("pattern"))
     new = mentions.select(F.explode("tokens").alias("s")).select(F.col("s.value").alias("value"), F.explode("s.patterns").alias("pattern"))
+    lexical = (F.col("value") != "") & F.col("pattern").rlike(r"\p{L}")
+    fits = F.filter(F.array(*[F.when(_shape(k, F.col("value")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
     # Distinct edges before anything is joined: a common pattern or a copied text counts once for each instance.
-    seeds = staged(known.where("value != ''").groupBy("pattern", "value", "kind").agg(F.lit(1.0).alias("weight")), "pii-seeds")
-    edges = staged(new.where("value != ''").distinct(), "pii-edges")
-    shapes = F.filter(F.array(*[F.when(_shape(k, F.col("value")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
+    seeds = staged(known.where(lexical).groupBy("pattern", "value", "kind").agg(F.lit(1.0).alias("weight")), "pii-seeds")
+    edges = staged(new.where(lexical).distinct().withColumn("fits", fits), "pii-edges")
+    misfits = staged(edges.groupBy("pattern").agg(*[F.count_if(~F.array_contains("fits", k)).alias("not_" + k) for k in KINDS]), "pii-misfits")
+    likely = edges.where(F.size("fits") > 0)
     accepted = edges.where(F.lit(False)).select("value", F.lit("").alias("kind"), F.lit(0.0).alias("weight"))
-    for _ in range(rounds):
-        learnt = edges.join(accepted, "value").select("pattern", "value", "kind", "weight")
-        # An unseen token counts against a pattern until it is accepted.
-        open_edges = edges.join(accepted.select("value").distinct(), "value", "left_anti")
-        votes = seeds.unionByName(learnt).groupBy("pattern", "kind").agg(F.sum("weight").alias("good"), F.count(F.lit(1)).alias("n"))
-        against = open_edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("open"))
+    while True:
+        learnt = likely.join(accepted, "value")
+        votes = seeds.unionByName(learnt.select("pattern", "value", "kind", "weight")).groupBy("pattern", "kind").agg(F.sum("weight").alias("good"), F.count(F.lit(1)).alias("n"))
         totals = votes.groupBy("pattern").agg(F.sum("n").alias("all"))
-        good = votes.where(F.col("n") >= support).join(totals, "pattern").join(against, "pattern", "left")
-        # The token that is judged is one of the open ones and does not count against itself.
-        good = good.select("pattern", "kind", (F.col("good") / (F.col("all") + F.greatest(F.coalesce("open", F.lit(0)) - 1, F.lit(0)) + 0.25)).alias("confidence"))
-        judged = open_edges.join(good, "pattern").where(F.array_contains(shapes, F.col("kind")))
-        score = judged.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("weight"))
+        # A known instance of one kind counts among all known ones, not as a misfit of another.
+        judged = learnt.groupBy("pattern").agg(*[F.count_if(~F.array_contains("fits", k)).alias("known_not_" + k) for k in KINDS])
+        against = F.coalesce(*[F.when(F.col("kind") == k, F.coalesce("not_" + k, F.lit(0)) - F.coalesce("known_not_" + k, F.lit(0))) for k in KINDS])
+        good = votes.where(F.col("n") >= support).join(totals, "pattern").join(misfits, "pattern", "left").join(judged, "pattern", "left")
+        good = good.select("pattern", "kind", (F.col("good") / (F.col("all") + against + 0.25)).alias("confidence"))
+        open_edges = likely.join(accepted.select("value"), "value", "left_anti").join(good, "pattern").where(F.array_contains("fits", F.col("kind")))
+        score = open_edges.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("weight"))
         best = score.where(F.col("weight") >= accept).groupBy("value").agg(F.max(F.struct("weight", "kind")).alias("b"))
-        accepted = staged(accepted.unionByName(best.select("value", "b.kind", "b.weight")), "pii-accepted")
-    return accepted.select("value", "kind")
+        found = staged(best.select("value", "b.kind", "b.weight"), "pii-accepted")
+        if found.isEmpty():
+            return accepted.select("value", "kind")
+        accepted = accepted.unionByName(found)
 
 
 def _joined(spans: Column) -> Column:
