@@ -15,13 +15,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sensorloom.llm.base import text_slices
+
 #: Pieces (words, marks, other chunks) kept between batches of one worker; beyond it the store starts anew.
-STORE_PIECES = 500_000
+STORE_PIECES = 700_000
+#: Bytes of text that are encoded together.
+TOGETHER = 8_000_000
 _SLICE = 20_000
 _RUNS = re.compile(r"\s*\S+|\s+\Z")
 _ODD = re.compile(r"[\x1c-\x1f\x85]")
@@ -52,24 +57,18 @@ class ChunkEncoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _coded(self, pieces: list[str]) -> list[list[int]]:
-        """Words by the model itself, other pieces by the whole tokenizer."""
-        tokenize, letters, out = self.tokenizer.model.tokenize, self.letters, []
-        others = []
-        for k, piece in enumerate(pieces):
-            if piece[-1].isalpha() and _SIMPLE.fullmatch(piece):
-                out.append([t.id for t in tokenize(piece.translate(letters))])
-            else:
-                out.append([])
-                others.append(k)
-        for k, e in zip(others, self.tokenizer.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+    def _words(self, pieces: list[str]) -> list[list[int]]:
+        """Letters alone, with a space before them or without: by the model itself."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [[t.id for t in tokenize(piece.translate(letters))] for piece in pieces]
+
+    def _others(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], coder) -> None:
         for lo in range(0, len(pieces), _SLICE):
             part = pieces[lo : lo + _SLICE]
-            coded = self._coded(part)
+            coded = coder(part)
             lengths = np.fromiter(map(len, coded), np.int64, len(coded))
             n, k, total = len(self.at), len(coded), int(lengths.sum())
             while self.used + total > len(self.pool):
@@ -77,7 +76,7 @@ class ChunkEncoder:
             while n + k > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
                 self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.pool[self.used : self.used + total] = np.fromiter((i for c in coded for i in c), np.uint32, total)
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(coded), np.uint32, total)
             self.length[n : n + k] = lengths
             self.start[n : n + k] = self.used + np.cumsum(lengths) - lengths
             self.used += total
@@ -85,20 +84,32 @@ class ChunkEncoder:
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """Where the ids of distinct chunks are: of the word (or whole chunk), and of the marks behind it."""
-        pieces = []
-        for chunk in chunks:
-            found = _SIMPLE.fullmatch(chunk)
+        # A word and a whole chunk are never the same text: a word is letters alone, such a chunk is not.
+        firsts, marks, words, others = [], [], {}, {}
+        for chunk, found in zip(chunks, map(_SIMPLE.fullmatch, chunks), strict=True):
             if found:
-                word, marks = found.groups()
-                pieces += (word.lower() if self.lower else word, marks)
+                word, mark = found.groups()
+                if self.lower:
+                    word = word.lower()
+                words[word] = None
+                firsts.append(word)
+                marks.append(mark)
             else:
-                pieces += (chunk, "")
-        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
-        if new and len(self.at) + len(new) > STORE_PIECES:
+                others[chunk] = None
+                firsts.append(chunk)
+                marks.append("")
+        others.update(dict.fromkeys(marks))
+        known = self.at.keys()
+        new, more = [p for p in words if p not in known], [p for p in others if p not in known]
+        if len(self.at) + len(new) + len(more) > STORE_PIECES and (new or more):
             self._clear()
-            new = [p for p in dict.fromkeys(pieces) if p]
-        self._learn(new)
-        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces)).reshape(-1, 2)
+            new, more = list(words), [p for p in others if p]
+        self._learn(new, self._words)
+        self._learn(more, self._others)
+        place = np.empty((len(chunks), 2), np.int64)
+        place[:, 0] = np.fromiter(map(self.at.__getitem__, firsts), np.int64, len(firsts))
+        place[:, 1] = np.fromiter(map(self.at.__getitem__, marks), np.int64, len(marks))
+        return place
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks one after the other, and how many each has."""
@@ -158,11 +169,9 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, rows: int = 2_000):
-    """Slices of the batches, each with the ids of column ``text``, the end id behind them."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, together: int = TOGETHER):
+    """Slices of the batches (about ``together`` bytes of text, one row at least), each with the ids of column ``text``, the end id behind them."""
     coder = encoder(path)
     tail = np.array([end], np.uint32)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            part = batch.slice(lo, rows)
-            yield part, [np.concatenate([ids, tail]) for ids in coder.encode(part.column("text"))]
+    for part in text_slices(batches, most=together):
+        yield part, [np.concatenate([ids, tail]) for ids in coder.encode(part.column("text"))]
