@@ -1,19 +1,25 @@
-"""Line dedup by common blocks of lines.
+"""Line dedup by alignment of overlapping documents.
 
 A block of consecutive lines that an earlier document has too, of at least
-``block_words`` words, goes from the later document. Blocks are found by their
-shortest parts: the shortest run of lines from each line on, and up to each line,
-that reaches ``block_words`` words. Every line of a common block is in such a run
-within the block, so the lines of all runs that an earlier document has are exactly
-the lines of all common blocks: in any number of documents, in any order, repeated
-or not, and whichever documents have them first.
+``block_words`` words, goes from the later document. Documents are paired by the
+shortest parts of such blocks: the shortest run of lines from each line on, and up
+to each line, that reaches ``block_words`` words. Each run pairs a document with
+the first document that has it, however many have it. A pair is aligned by a
+patience diff of its lines, and aligned blocks of ``block_words`` words go. A run
+that the diff leaves (held twice, in another order, without a line that is unique in
+both) is aligned by the longest common block around it, until no run is left.
+
+Every line of a common block is in such a run within the block, so the aligned
+blocks are exactly the lines of all common blocks: in any number of documents, in
+any order, repeated or not, and whichever documents have them first. A pair without
+a shared run has no common block, so a shared line alone, rare or not, pairs nobody.
 
 Proof: let less than ``block_words`` words stand from a line to the end of its
 block, and from the block's start to it (else a run from or up to the line does).
 Of the lines before it, the last one from which the words reach ``block_words`` by
 the end of the block has its shortest run end at the line or behind it.
 
-Runs are hashes; texts are read again only where lines go.
+Runs and lines are hashes; texts are read again only where lines go.
 """
 
 from __future__ import annotations
@@ -61,7 +67,7 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
-    """Common blocks (start in a, start in b, lines) in ascending order, by a patience diff of two texts. The operator does not need it."""
+    """Common blocks (start in a, start in b, lines) in ascending order, by a patience diff of two texts."""
     matched: dict[int, int] = {}
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -94,6 +100,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in blocks]
 
 
+def longest_block(a: np.ndarray, b: np.ndarray, start: int, lines: int) -> tuple[int, int]:
+    """(start in b, lines) of a longest common block around ``b[start : start + lines]``: farthest on, then farthest back. Without one: no lines."""
+    at = np.arange(len(a) - lines + 1)
+    for k in range(lines):
+        at = at[a[at + k] == b[start + k]]
+    if not len(at):
+        return start, 0
+    end = start + lines
+    while end < len(b):
+        on = at[at + end - start < len(a)]
+        on = on[a[on + end - start] == b[end]]
+        if not len(on):
+            break
+        at, end = on, end + 1
+    low = start
+    while low:
+        back = at[at > start - low]
+        back = back[a[back - start + low - 1] == b[low - 1]]
+        if not len(back):
+            break
+        at, low = back, low - 1
+    return low, end - low
+
+
+def aligned_lines(a: np.ndarray, b: np.ndarray, counts: np.ndarray, runs: list[tuple[int, int]], block_words: int) -> np.ndarray:
+    """Lines of ``b`` (``counts``: their words) in aligned blocks of ``block_words`` words; ``runs`` (start, lines) of ``b`` are those that ``a`` has."""
+    gone = np.zeros(len(b), bool)
+    before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    for _, start, lines in patience(a.tolist(), b.tolist()):
+        if before[start + lines] - before[start] >= block_words:
+            gone[start : start + lines] = True
+    for start, lines in sorted(runs):
+        if not gone[start : start + lines].all():
+            low, size = longest_block(a, b, start, lines)
+            gone[low : low + size] = True
+    return np.flatnonzero(gone)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Thin rows, one for each different (doc_id, text): line hashes, words of each line, and a key that orders documents."""
     text = whole()
@@ -157,6 +201,27 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, 500)
 
 
+def _aligned(pairs: DataFrame, block_words: int) -> DataFrame:
+    """_row, gone: the lines that the alignment of each pair takes from its later document."""
+
+    def align(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            own, words_of, first, start, size = (_lists(batch.column(c)) for c in ("hashes", "words", "first_hashes", "starts", "sizes"))
+            gone = [
+                aligned_lines(a, b, counts, list(zip(s.tolist(), n.tolist(), strict=True)), block_words)
+                for a, b, counts, s, n in zip(first, own, words_of, start, size, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(gone, pa.list_(pa.int32()))], names=["_row", "gone"])
+
+    return pairs.select("_row", "hashes", "words", "first_hashes", "starts", "sizes").mapInArrow(align, "_row long, gone array<int>")
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column, none of them null."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))[:-1])
+
+
 def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, version, gone): positions of the lines to delete, for each document that loses any. Written."""
     # Numbers stand for the order of documents: a number is a far smaller key than an id and a version.
@@ -165,9 +230,13 @@ def repeated_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame
     # Counted map-side first: a very common run costs a row for each task.
     known = runs.groupBy("key").agg(F.min("_row").alias("first"), F.max("_row").alias("_last"))
     shared = staged(known.where("first < _last").select("key", "first"), "shared-runs")
-    found = runs.join(sized(shared), "key").where("_row > first").select("_row", F.struct("start", "lines").alias("run")).distinct()
-    lines = F.flatten(F.transform(F.collect_list("run"), lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1)))
-    gone = found.groupBy("_row").agg(F.array_sort(F.array_distinct(lines)).alias("gone"))
+    found = runs.join(sized(shared), "key").where("_row > first").select("_row", "first", F.struct("start", "lines").alias("run"))
+    pairs = found.groupBy("_row", "first").agg(F.collect_list("run").alias("runs")).select("_row", "first", F.col("runs.start").alias("starts"), F.col("runs.lines").alias("sizes"))
+    # The first documents come last: their lines go from the join to the alignment, not through another shuffle.
+    later = pairs.join(rows.select("_row", "hashes", "words"), "_row")
+    firsts = rows.select(F.col("_row").alias("first"), F.col("hashes").alias("first_hashes"))
+    aligned = _aligned(later.join(firsts, "first"), block_words)
+    gone = aligned.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where(F.size("gone") > 0)
     return staged(rows.select("_row", "doc_id", "version").join(gone, "_row").select("doc_id", "version", "gone"), "gone-lines")
 
 

@@ -105,6 +105,25 @@ def test_gone_lines_are_those_of_a_brute_force(docs):
     assert [got.get(i, []) for i in range(len(all_texts))] == want
 
 
+def test_lines_go_by_alignment(docs, monkeypatch):
+    """Pairs are aligned: what the diff leaves (another order, held twice) goes by the longest common block, nothing by runs alone."""
+    import numpy as np
+
+    a, b = np.array([1, 2, 3, 4, 5, 6]), np.array([4, 5, 6, 9, 1, 2, 3, 8, 5, 6])
+    words = np.full(10, 6)
+    runs = [(0, 2), (1, 2), (4, 2), (5, 2), (8, 2)]
+    assert linedup.aligned_lines(a, b, words, runs, 12).tolist() == [0, 1, 2, 4, 5, 6, 8, 9]
+    assert linedup.aligned_lines(a, b, words, [], 12).tolist() == [x for _, s, n in linedup.patience(a.tolist(), b.tolist()) for x in range(s, s + n) if n > 1]
+    assert linedup.aligned_lines(a[:1], b, words, [(0, 2)], 12).tolist() == []  # a run whose key is another's goes nowhere
+    assert linedup.longest_block(np.array([7, 7, 1, 7, 7, 7]), np.array([7, 7, 7, 7]), 1, 1) == (1, 3)
+    pairs = []
+    monkeypatch.setattr(linedup, "_aligned", lambda found, least, by=linedup._aligned: by(pairs.append(found) or found, least))
+    text = "\n".join(f"line {i} of a text that three documents have" for i in range(6))
+    got = linedup.repeated_lines(docs([text, f"own\n{text}", f"{text}\nown too", "own"])).collect()
+    assert sorted((r["doc_id"], r["gone"]) for r in got) == [(1, [1, 2, 3, 4, 5, 6]), (2, [0, 1, 2, 3, 4, 5])]
+    assert sorted((r["_row"], r["first"]) for r in pairs[0].collect()) == [(1, 0), (2, 0)]
+
+
 def test_white_space_order_and_repeated_rows(docs):
     spaced = LONG.replace(" ", "  ")
     got = linedup.without_repeated_lines(docs([(2, LONG), (1, f"a\n {spaced} "), (2, LONG), (None, "n\n" + OTHER), (0, OTHER)])).collect()
