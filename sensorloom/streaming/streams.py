@@ -31,6 +31,9 @@ from sensorloom.schema import BLOCK_ROWS, EPOCH, MAX_NULL_SHARE, PREDICTION_ROWS
 
 #: Windows (or sequences) of a stretch.
 STRETCH = 4096
+#: Files that a batch writes of numbered rows and of windows, whatever its size and the number of shuffle partitions;
+#: so the batches that read them are as many as those that wrote them. Numbered rows get more beyond ``FILE_ROWS`` in each.
+FILES, FILE_ROWS = 12, 2_000_000
 #: Folders of a tier.
 TIER = 10
 
@@ -110,6 +113,7 @@ def number_batches(path: str, columns: Sequence[str], order: Sequence[str] = ORD
         spark = batch.sparkSession
         own = batch.select(SITE, *dict.fromkeys([*order, *columns]))
         numbered = _kept(number_rows(own, [SITE], order), _place(path, "batch", batch_id))
+        n_rows = numbered.count()
         counts = numbered.groupBy(SITE).agg(F.count(F.lit(1)).alias("n_rows"))
         if batch_id > 0:
             before = spark.read.schema(counts.schema).parquet(_place(path, "counts", batch_id - 1))
@@ -117,7 +121,9 @@ def number_batches(path: str, columns: Sequence[str], order: Sequence[str] = ORD
                 numbered.join(before, SITE, "left").withColumn("_rn", F.col("_rn") + F.coalesce("n_rows", F.lit(0))).drop("n_rows")
             )
             counts = before.unionByName(counts).groupBy(SITE).agg(F.sum("n_rows").alias("n_rows"))
-        numbered.write.mode("overwrite").parquet(f"{path}/numbered/batch={batch_id}")
+        # Ranges keep the rows of a window together.
+        files = max(FILES, -(-n_rows // FILE_ROWS))
+        numbered.repartitionByRange(files, SITE, "_rn").write.mode("overwrite").parquet(f"{path}/numbered/batch={batch_id}")
         counts.write.mode("overwrite").parquet(_place(path, "counts", batch_id))
 
     return each
@@ -131,7 +137,7 @@ def _numbered_stream(stream: DataFrame, path: str, columns: Sequence[str], order
     schema = ", ".join([*(f"`{c}` {kinds[c].simpleString()}" for c in dict.fromkeys([SITE, *order, *columns])), "_rn long"])
     reader = spark.readStream.schema(schema).option("cleanSource", "delete")
     if files:
-        reader = reader.option("maxFilesPerTrigger", files)
+        reader = reader.option("maxFilesPerTrigger", files * FILES)
     return reader.parquet(f"{path}/numbered/batch=*")
 
 
@@ -184,7 +190,7 @@ def stream_tumble_rows(
 
     Everything that is available is processed; a later call with the same ``path`` goes on
     from there. Returns all windows so far, which lie in ``path``/windows. ``files`` bounds the
-    files of numbered rows that a batch takes. Rows without a site belong to no window.
+    numbered files that a batch takes, in batches of ``FILES``. Rows without a site belong to no window.
     """
     features = list(features)
     with _state_store(stream.sparkSession):
@@ -195,7 +201,9 @@ def stream_tumble_rows(
             placed.withColumn("_stretch", F.floor(F.col(WINDOW) / STRETCH)).groupBy(SITE, "_stretch")
             .transformWithStateInPandas(_Windows(features, rows, max_null_share, mask), schema, "Append", "None")
         )
-        append_available(built, f"{path}/windows", f"{path}/checkpoint/windows")
+        # A file for each partition of the state would be a batch for each of them in a stream that reads a few files at a time.
+        few = built.repartition(FILES, SITE, F.floor(F.col(WINDOW) / STRETCH))
+        append_available(few, f"{path}/windows", f"{path}/checkpoint/windows")
     return stream.sparkSession.read.schema(schema).parquet(f"{path}/windows")
 
 

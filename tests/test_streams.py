@@ -151,3 +151,25 @@ def test_late_rows_are_dropped_and_open_hours_go_on(spark, tmp_path):
         stream = spark.readStream.schema("aqs_code string, epoch long, temp double").parquet(folder)
         got = streams.stream_hourly_mean(stream, ["temp"], path, delay="1 hour")
     assert {tuple(r) for r in got.collect()} == {("a", 0, 1.0), ("a", 3600, 3.0), ("b", 18_000, 2.0), ("b", 90_000, 5.0)}
+
+
+def test_files_do_not_grow_with_shuffle_partitions(spark, readings, arriving, tmp_path):
+    """A stream that reads a few files at a time has as many batches as before, whatever the shuffle partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    many = readings.crossJoin(spark.range(20)).withColumn("event_id", F.col("event_id") * 20 + F.col("id")).drop("id")
+    many = many.withColumn("aqs_code", F.concat("aqs_code", (F.col("event_id") % 16).cast("string")))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        streams.number_batches(str(tmp_path), ["o3"])(many, 0)
+        folder = str(tmp_path / "in")
+        many.coalesce(1).write.parquet(folder)
+        stream = spark.readStream.schema(FIELDS).parquet(folder)
+        got = streams.stream_tumble_rows(stream, ["o3", "temp"], str(tmp_path / "out"), files=1)
+        assert same(got, rw.tumble_rows(many, ["o3", "temp"]))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(list((tmp_path / "numbered" / "batch=0").glob("*.parquet"))) <= streams.FILES
+    assert len(list((tmp_path / "out" / "windows").glob("*.parquet"))) <= streams.FILES
+    assert len(list((tmp_path / "out" / "checkpoint" / "windows" / "commits").glob("[0-9]*"))) == 1
