@@ -17,6 +17,8 @@ from sensorloom.session import tune_session
 
 #: The end-of-document id of packed sequences.
 END_ID = 2
+#: Bytes of text encoded together and pieces that a worker keeps: less than op1 takes, as executors still hold what earlier stages took.
+ENCODER = {"together": 2_000_000, "store": 200_000}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     import public_tokenizers
 
     tune_session(spark)
-    return packing.pack_documents(docs.withColumn("text", whole(F.col("text"))), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return packing.pack_documents(docs.withColumn("text", whole(F.col("text"))), public_tokenizers.path("byte_bpe_50k.json"), END_ID, **ENCODER)
 
 
 STAGES = [

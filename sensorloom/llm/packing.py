@@ -38,15 +38,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] * (n > 0) + [(at, capacity) for at in range(head, n, capacity)]
 
 
-def token_pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, **sizes: int) -> DataFrame:
     """Encode whole texts (null: empty) and cut those longer than ``capacity``.
 
     Every document has the end id at least, so none is lost. ``ids`` holds
-    little-endian unsigned 32-bit integers. Other columns are not carried.
+    little-endian unsigned 32-bit integers. Other columns are not carried. ``sizes``
+    are those of ``tokens.encoded``; they change memory and time, not the pieces.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]):
-        for part, coded in encoded(batches, path, end):
+        for part, coded in encoded(batches, path, end, **sizes):
             rows = [(i, k, s, n, ids[s : s + n]) for i, ids in enumerate(coded) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -154,13 +155,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_rows: int = 100_000)
     )
 
 
-def pack_documents(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, **sizes: int) -> DataFrame:
     """Pieces of all documents with their checksum and place; the ids themselves are not kept in the written table.
 
     Null and empty texts give a piece of the end id alone. A doc_id that is null
     or repeats is packed like any other. An empty table gives no rows.
     """
-    pieces = token_pieces(docs, path, end, capacity).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = token_pieces(docs, path, end, capacity, **sizes).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(staged(pieces, "pieces"), capacity)
 
 

@@ -34,14 +34,15 @@ _ODD = re.compile(r"[\x1c-\x1f\x85]")
 _BESIDE = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 #: A word and the marks behind it; no apostrophe, which may begin a suffix.
 _SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, store: int | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.store = store or STORE_PIECES
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
@@ -101,7 +102,7 @@ class ChunkEncoder:
         others.update(dict.fromkeys(marks))
         known = self.at.keys()
         new, more = [p for p in words if p not in known], [p for p in others if p not in known]
-        if len(self.at) + len(new) + len(more) > STORE_PIECES and (new or more):
+        if len(self.at) + len(new) + len(more) > self.store and (new or more):
             self._clear()
             new, more = list(words), [p for p in others if p]
         self._learn(new, self._words)
@@ -162,16 +163,16 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One for each worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, store: int = 0) -> ChunkEncoder:
+    """One for each worker process, vocabulary and size of the store (0: ``STORE_PIECES``)."""
+    if (path, store) not in _encoders:
+        _encoders[path, store] = ChunkEncoder(path, store)
+    return _encoders[path, store]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, together: int = TOGETHER):
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, together: int = TOGETHER, store: int = 0):
     """Slices of the batches (about ``together`` bytes of text, one row at least), each with the ids of column ``text``, the end id behind them."""
-    coder = encoder(path)
+    coder = encoder(path, store)
     tail = np.array([end], np.uint32)
     for part in text_slices(batches, most=together):
         yield part, [np.concatenate([ids, tail]) for ids in coder.encode(part.column("text"))]

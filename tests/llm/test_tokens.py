@@ -33,3 +33,14 @@ def test_store_starts_anew(monkeypatch):
 
 def test_no_rows():
     assert tokens.ChunkEncoder(P.path("byte_bpe_50k.json")).encode(pa.array([], pa.string())) == []
+
+
+def test_a_small_store_and_small_slices():
+    """The store keeps its size, and the ids stay those of a large one."""
+    path = P.path("byte_bpe_50k.json")
+    texts = [" ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[k % 10]}{'uvwxyzabcd'[i // 10]}q" for k in range(i % 23)) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    flat = lambda **sizes: [ids.tolist() for _, coded in tokens.encoded([batch], path, 2, **sizes) for ids in coded]
+    assert flat(together=200, store=50) == flat()
+    assert len(tokens.encoder(path, 50).at) <= 150
+    assert len(tokens.encoder(path).at) > 400
