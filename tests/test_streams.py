@@ -153,7 +153,7 @@ def test_late_rows_are_dropped_and_open_hours_go_on(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("a", 0, 1.0), ("a", 3600, 3.0), ("b", 18_000, 2.0), ("b", 90_000, 5.0)}
 
 
-def test_files_do_not_grow_with_shuffle_partitions(spark, readings, arriving, tmp_path):
+def test_files_do_not_grow_with_shuffle_partitions(spark, readings, tmp_path):
     """A stream that reads a few files at a time has as many batches as before, whatever the shuffle partitions."""
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     many = readings.crossJoin(spark.range(20)).withColumn("event_id", F.col("event_id") * 20 + F.col("id")).drop("id")
